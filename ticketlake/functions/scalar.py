@@ -138,9 +138,10 @@ def export_time(ts) -> Column:
 
 
 def coerce_timestamp(v) -> Column:
-    """Timestamp coercion, bad -> null (no exception under ANSI)."""
+    """Timestamp coercion, bad -> null (no exception under ANSI).  The result is
+    TIMESTAMP_NTZ holding the same wall-clock time (parse and render use one zone)."""
     v = _c(v)
-    return F.try_to_timestamp(v.cast("string"))
+    return F.try_to_timestamp(v.cast("string")).cast("timestamp_ntz")
 
 
 def coerce_double(v) -> Column:
