@@ -57,3 +57,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def materialize(df):
+    """Cut the lineage of an intermediate result that later steps read more than once.
+
+    A reliable ``checkpoint`` into the shared checkpoint folder: it survives executor
+    loss (unlike a local checkpoint) and keeps the next plan small."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
