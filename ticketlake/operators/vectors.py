@@ -132,8 +132,8 @@ def silhouette(df: DataFrame, id_col: str, label_col: str, vec: str, *,
                               "cnt": pd.Series([], dtype="int64")})
         if len(lp) == 0 or len(rp) == 0:
             return empty
-        A, B = _matrix(lp["_v"]), _matrix(rp["_v"])
-        labels = rp["_c"].to_numpy()
+        A, B = _matrix(lp["_v"]), _matrix(rp["_rv"])
+        labels = rp["_rc"].to_numpy()
         uniq = np.unique(labels)
         onehot = (labels[:, None] == uniq[None, :]).astype(np.float64)
         cnt = onehot.sum(axis=0).astype(np.int64)
@@ -152,7 +152,8 @@ def silhouette(df: DataFrame, id_col: str, label_col: str, vec: str, *,
             }))
         return pd.concat(outs, ignore_index=True) if outs else empty
 
-    parts = block_grid(pts, pts, "_i", "_i", cell, "_i long, _c long, _oc long, dsum double, cnt long",
+    right = pts.select(F.col("_i").alias("_ri"), F.col("_c").alias("_rc"), F.col("_v").alias("_rv"))
+    parts = block_grid(pts, right, "_i", "_ri", cell, "_i long, _c long, _oc long, dsum double, cnt long",
                        block_rows=block_rows)
     per = parts.groupBy("_i", "_c", "_oc").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
     own = per.filter(F.col("_c") == F.col("_oc"))
@@ -211,11 +212,11 @@ def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec: str, k: int,
         rows = []
         if len(lp) and len(rp):
             for c, lg in lp.groupby("_c"):
-                rg = rp[rp["_c"] == c].sort_values("_i", kind="stable")
+                rg = rp[rp["_rc"] == c].sort_values("_ri", kind="stable")
                 if len(rg) == 0:
                     continue
-                A, B = _matrix(lg["_v"]), _matrix(rg["_v"])
-                ids = rg["_i"].to_numpy()
+                A, B = _matrix(lg["_v"]), _matrix(rg["_rv"])
+                ids = rg["_ri"].to_numpy()
                 li = lg["_i"].to_numpy()
                 for s in range(0, len(A), _CHUNK):
                     d = np.sqrt(((A[s:s + _CHUNK, None, :] - B[None, :, :]) ** 2).sum(axis=2))
@@ -229,7 +230,8 @@ def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec: str, k: int,
         return pd.DataFrame(rows, columns=["_i", "nb_id", "dist"]).astype(
             {"_i": "int64", "nb_id": "int64", "dist": "float64"})
 
-    parts = block_grid(pts, pts, "_i", "_i", cell, "_i long, nb_id long, dist double", block_rows=block_rows)
+    right = pts.select(F.col("_i").alias("_ri"), F.col("_c").alias("_rc"), F.col("_v").alias("_rv"))
+    parts = block_grid(pts, right, "_i", "_ri", cell, "_i long, nb_id long, dist double", block_rows=block_rows)
     w = Window.partitionBy("_i").orderBy("dist", "nb_id")
     return (parts.withColumn("nb_rank", F.row_number().over(w)).filter(F.col("nb_rank") <= k)
             .select(F.col("_i").alias(id_col), "nb_rank", "nb_id", "dist"))

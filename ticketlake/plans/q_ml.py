@@ -1 +1,104 @@
-"""Driver queries (filled in as operators land)."""
+"""Driver queries: model training and evaluation (step 8).  ML numbers are engine
+specific (SURVEY §7.4): these have no SQL oracle; tests check floors and counts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ticketlake.functions.scalar import l2_normalise
+from ticketlake.operators import evaluation as ev
+from ticketlake.operators import ml
+from ticketlake.plans.q_prep import ticket_prep
+from ticketlake.plans.registry import query
+from ticketlake.sources.tables import table
+
+
+def _emb_vec(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return ml.to_vector(e, "embedding").withColumn("label", F.col("label").cast("string"))
+
+
+@query("lr_embeddings")
+def lr_embeddings(spark, sf_dir):
+    """ML3 / ML12: multinomial logistic regression (C = 1) on the vectors, exact 80/20
+    stratified split, weighted scores on the test split."""
+    return ml.evaluate_classification(_emb_vec(spark, sf_dir), "vec_id", "label", "features")
+
+
+@query("ovr_tfidf")
+def ovr_tfidf(spark, sf_dir):
+    """ML1 + ML4: TF-IDF (20,000 terms, min_df 2) + balanced one-vs-rest linear model
+    predicting a document's language; scores on the test split."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    s = ev.stratified_split(d, "doc_id", "label")
+    train, test = s.filter("split = 'train'"), s.filter("split = 'test'")
+    model = ml.train_text_classifier(train, "label", kind="ovr")
+    p = model.transform(test).select(F.col("label").alias("y_true"), F.col("prediction_label").alias("y_pred"))
+    return ev.summary_scores(p)
+
+
+@query("rf_priority")
+def rf_priority(spark, sf_dir):
+    """ML5 + F8: prepared tickets, TF-IDF uni+bigrams (5,000 terms) + balanced random
+    forest (100 trees); keyword rules decide first, the forest scores the rest."""
+    t = ticket_prep(spark, sf_dir).select("ticket_id", F.col("description").alias("text"), "priority")
+    s = ev.stratified_split(t, "ticket_id", "priority")
+    train, test = s.filter("split = 'train'"), s.filter("split = 'test'")
+    model = ml.train_text_classifier(train, "priority", kind="rf", max_features=5000, min_df=1.0, ngrams=2)
+    p = ml.predict_priority(test.withColumnRenamed("priority", "y_true"), "text", model)
+    return ev.summary_scores(p.select(F.lower("y_true").alias("y_true"), F.col("priority").alias("y_pred")))
+
+
+@query("kmeans_scores")
+def kmeans_scores(spark, sf_dir):
+    """ML7 + ML13: K-Means k = 3 on the vectors, exact silhouette and Davies-Bouldin."""
+    return ml.evaluate_clustering(_emb_vec(spark, sf_dir), "vec_id", "features", "embedding", 3)
+
+
+@query("pca")
+def pca(spark, sf_dir):
+    """ML8: centred PCA to 2 components; each vector's projection with the explained
+    variance ratios."""
+    proj, var = ml.pca_centered(_emb_vec(spark, sf_dir), 2)
+    arr = ml.to_array(proj, "pca", "_p")
+    return arr.select("vec_id", F.col("_p")[0].alias("pc1"), F.col("_p")[1].alias("pc2"),
+                      F.lit(var[0]).alias("var1"), F.lit(var[1]).alias("var2"))
+
+
+@query("smote_counts", sql="""
+SELECT CAST(label AS VARCHAR) AS label, (SELECT max(c) FROM (SELECT count(*) AS c FROM embeddings GROUP BY label))::BIGINT AS n,
+       count(*)::BIGINT AS n_original
+FROM embeddings GROUP BY label""")
+def smote_counts(spark, sf_dir):
+    """ML9: class sizes after SMOTE (every class at the majority size)."""
+    e = table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("string"))
+    s = ml.smote(e, "vec_id", "label", "embedding")
+    return s.groupBy("label").agg(F.count(F.lit(1)).alias("n"),
+                                  F.count_if(~F.col("synthetic")).alias("n_original"))
+
+
+@query("full_evaluation")
+def full_evaluation(spark, sf_dir):
+    """ML14: two encoders (raw vectors, L2-normalised vectors) x 2 repeats -> mean and
+    population std of every score."""
+    e = table(spark, sf_dir, "embeddings").withColumn("label", F.col("label").cast("string"))
+    encoders = {
+        "raw": lambda d: ml.to_vector(d, "embedding"),
+        "l2": lambda d: ml.to_vector(d.withColumn("_n", l2_normalise("embedding")), "_n"),
+    }
+    return ml.full_evaluation(e, "vec_id", "label", encoders, repeats=2)
+
+
+@query("train_models")
+def train_models(spark, sf_dir):
+    """ML15 / ML16: priority and sentiment models trained from the prepared tickets
+    (both labels present), train and test accuracy of each."""
+    t = ticket_prep(spark, sf_dir).select("ticket_id", F.col("description").alias("text"), "priority", "sentiment")
+    out = None
+    for label in ("priority", "sentiment"):
+        s = ev.stratified_split(t, "ticket_id", label)
+        train, test = s.filter("split = 'train'"), s.filter("split = 'test'")
+        model = ml.train_text_classifier(train, label, kind="lr")
+        r = ml.train_and_test_accuracy(model, train, test, label).select(F.lit(label).alias("model"), "*")
+        out = r if out is None else out.unionByName(r)
+    return out
