@@ -193,3 +193,18 @@ def faq_import_counts(spark, sf_dir):
     return (good.select(F.lit(True).alias("accepted"))
             .unionByName(bad.select(F.lit(False).alias("accepted")))
             .groupBy("accepted").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("page_inventory", sql="""
+SELECT page_id, strlen(html) / 1024.0 AS size_kb,
+       (length(html) - length(replace(html, chr(10), ''))
+        + CASE WHEN html = '' OR suffix(html, chr(10)) THEN 0 ELSE 1 END)::BIGINT AS n_lines
+FROM pages""")
+def page_inventory(spark, sf_dir):
+    """S17 on stored pages: size in KB (UTF-8 bytes / 1024) and line count of each
+    page's html (the same columns ``files.file_inventory`` gives for files on disk)."""
+    from ticketlake.sources.files import line_count
+
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", (F.octet_length("html") / 1024.0).alias("size_kb"),
+                    line_count(F.col("html")).alias("n_lines"))

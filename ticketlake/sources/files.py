@@ -144,6 +144,12 @@ def read_service_log(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def line_count(text: Column) -> Column:
+    """Lines as ``readlines`` counts them: newlines, plus one for a last unterminated line."""
+    nl = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return (nl + F.when((text == "") | F.endswith(text, F.lit("\n")), 0).otherwise(1)).cast("bigint")
+
+
 def file_inventory(spark: SparkSession, root: str, ignore_dirs: Sequence[str] = ()) -> DataFrame:
     """Path, size in KB and line count of every file under ``root``, skipping
     ignored directories.  ``binaryFile`` lists and reads files on the executors."""
@@ -154,5 +160,5 @@ def file_inventory(spark: SparkSession, root: str, ignore_dirs: Sequence[str] =
     return df.select(
         "path",
         (F.col("length") / 1024.0).alias("size_kb"),
-        (F.size(F.split(text, "\n")) - F.when(F.endswith(text, F.lit("\n")), 1).otherwise(0)).alias("n_lines"),
+        line_count(text).alias("n_lines"),
     )
