@@ -179,12 +179,12 @@ def davies_bouldin(df: DataFrame, id_col: str, label_col: str, vec: str) -> Data
     centroid table on ``pos`` (k = number of clusters).  0 when all spreads or all
     centroid distances are 0; NaN with fewer than 2 clusters."""
     lf = long_form(df.filter(F.col(vec).isNotNull()), [id_col, label_col], vec)
-    cent = lf.groupBy(label_col, "pos").agg(F.avg("x").alias("c"))
+    cent = lf.groupBy(label_col, "pos").agg(F.avg("x").alias("_cx"))
     d = (lf.join(cent, [label_col, "pos"])
-         .groupBy(id_col, label_col).agg(F.sqrt(F.sum((F.col("x") - F.col("c")) ** 2)).alias("d")))
-    spread = d.groupBy(label_col).agg(F.avg("d").alias("s"))
-    ci = cent.select(F.col(label_col).alias("i"), "pos", F.col("c").alias("ci"))
-    cj = cent.select(F.col(label_col).alias("j"), "pos", F.col("c").alias("cj"))
+         .groupBy(id_col, label_col).agg(F.sqrt(F.sum((F.col("x") - F.col("_cx")) ** 2)).alias("_d")))
+    spread = d.groupBy(label_col).agg(F.avg("_d").alias("s"))
+    ci = cent.select(F.col(label_col).alias("i"), "pos", F.col("_cx").alias("ci"))
+    cj = cent.select(F.col(label_col).alias("j"), "pos", F.col("_cx").alias("cj"))
     m = (ci.join(cj, "pos").filter(F.col("i") != F.col("j"))
          .groupBy("i", "j").agg(F.sqrt(F.sum((F.col("ci") - F.col("cj")) ** 2)).alias("m")))
     si = spread.select(F.col(label_col).alias("i"), F.col("s").alias("si"))
