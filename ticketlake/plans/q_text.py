@@ -148,7 +148,9 @@ def metric_mean_std(spark, sf_dir):
     return ev.metric_mean_std(_metrics(spark, sf_dir))
 
 
-@query("metrics_wide")
+@query("metrics_wide", sql=f"""
+PIVOT (SELECT model, metric, avg(value) AS mean FROM ({_METRICS_SQL}) m GROUP BY model, metric)
+ON metric USING first(mean) GROUP BY model""")
 def metrics_wide(spark, sf_dir):
     """The mean / std table pivoted to one row per model."""
     return ev.metrics_wide(ev.metric_mean_std(_metrics(spark, sf_dir)))

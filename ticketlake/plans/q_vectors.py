@@ -101,7 +101,15 @@ def davies_bouldin(spark, sf_dir):
     return vx.davies_bouldin(_emb(spark, sf_dir), "vec_id", "label", "embedding")
 
 
-@query("knn_same_class")
+@query("knn_same_class", sql="""
+SELECT vec_id, nb_rank, nb_id, dist FROM (
+  SELECT a.vec_id, b.vec_id AS nb_id,
+         list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS dist,
+         row_number() OVER (PARTITION BY a.vec_id
+                            ORDER BY list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])),
+                                     b.vec_id) AS nb_rank
+  FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id)
+WHERE nb_rank <= 5""")
 def knn_same_class(spark, sf_dir):
     """ML9 neighbours: the 5 nearest same-class vectors of every vector."""
     return vx.knn_same_class(_emb(spark, sf_dir), "vec_id", "label", "embedding", 5)
