@@ -67,7 +67,7 @@ def whitespace_tokens(text) -> Column:
     """Lower-cased text split on runs of whitespace, empties removed; the token form of
     the substring pre-join (both sides must use this same split)."""
     parts = F.split(F.lower(_c(text)), r"[ \t\n\x0B\f\r]+")
-    return F.filter(parts, lambda x: x != "")
+    return F.array_remove(parts, "")
 
 
 def role_tags(text) -> Column:
