@@ -102,3 +102,28 @@ def train_models(spark, sf_dir):
         r = ml.train_and_test_accuracy(model, train, test, label).select(F.lit(label).alias("model"), "*")
         out = r if out is None else out.unionByName(r)
     return out
+
+
+@query("model_roundtrip")
+def model_roundtrip(spark, sf_dir):
+    """A fitted pipeline (label indexer + logistic regression + label decoder) is
+    saved to the shared folder, loaded back, and must predict exactly as before."""
+    import os
+    import uuid
+
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IndexToString, StringIndexer
+
+    from ticketlake.session import checkpoint_dir
+
+    e = _emb_vec(spark, sf_dir)
+    idx = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc").fit(e)
+    pipe = Pipeline(stages=[idx, ml.logistic_regression(e.count(), max_iter=100),
+                            IndexToString(inputCol="prediction", outputCol="prediction_label", labels=idx.labels)])
+    model = pipe.fit(e)
+    path = os.path.join(checkpoint_dir(spark), "models", f"lr-{uuid.uuid4().hex[:12]}")
+    ml.save_model(model, path)
+    again = ml.load_model(path)
+    a = model.transform(e).select("vec_id", F.col("prediction_label").alias("p1"))
+    b = again.transform(e).select("vec_id", F.col("prediction_label").alias("p2"))
+    return a.join(b, "vec_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p1") == F.col("p2")).alias("n_same"))

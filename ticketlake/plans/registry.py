@@ -35,7 +35,7 @@ def query(name: str, sql: str | None = None):
 def _load_all() -> None:
     # import for the registration side effect
     from ticketlake.plans import (  # noqa: F401
-        q_kpi, q_prep, q_chat, q_retrieval, q_vectors, q_text, q_ml, q_stream,
+        q_kpi, q_prep, q_chat, q_retrieval, q_vectors, q_text, q_ml, q_stream, q_io,
     )
 
 

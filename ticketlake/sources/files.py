@@ -75,9 +75,11 @@ def question_lines(spark: SparkSession, path: str, strip_commas: bool = True) ->
             .filter(F.col("question") != ""))
 
 
-def read_json_records(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """A JSON file holding one object or an array of objects."""
-    r = spark.read.option("multiLine", True)
+def read_json_records(spark: SparkSession, path: str, schema: T.StructType | None = None,
+                      multi_line: bool = True) -> DataFrame:
+    """JSON files each holding one object or an array of objects (``multi_line``),
+    or JSON-lines files (one object per line, as Spark writes them)."""
+    r = spark.read.option("multiLine", multi_line)
     if schema is not None:
         r = r.schema(schema)
     return r.json(path)
@@ -97,14 +99,16 @@ def append_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
 
 
 def export_csv(df: DataFrame, path: str) -> None:
-    """CSV with header; nested columns rendered as JSON text first."""
+    """CSV with header; nested columns rendered as JSON text first.  Quotes are
+    doubled (RFC 4180), every field quoted, so multi-line texts read back intact."""
     cols: list[Column] = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
             cols.append(F.to_json(F.col(f"`{f.name}`")).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
-    df.select(*cols).write.mode("overwrite").option("header", True).csv(path)
+    (df.select(*cols).write.mode("overwrite").option("header", True)
+     .option("escape", '"').option("quoteAll", True).csv(path))
 
 
 def save_json(df: DataFrame, path: str) -> None:
