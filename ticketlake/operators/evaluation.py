@@ -105,9 +105,10 @@ def confusion_matrix(yy: DataFrame) -> DataFrame:
 def class_weights(df: DataFrame, label_col: str) -> DataFrame:
     """Balanced weights n / (k * n_c) per class."""
     c = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
-    n = df.agg(F.count(F.lit(1))).scalar()
-    k = c.agg(F.count(F.lit(1))).scalar()
-    return c.withColumn("weight", n / (k * F.col("n_c")))
+    # n and k from the k-row class table, one scalar subquery referenced once
+    st = c.agg(F.struct(F.sum("n_c").alias("n"), F.count(F.lit(1)).alias("k")).alias("s")).scalar()
+    return (c.withColumn("_st", st)
+            .withColumn("weight", F.col("_st.n") / (F.col("_st.k") * F.col("n_c"))).drop("_st"))
 
 
 def with_class_weights(df: DataFrame, label_col: str, weight_col: str = "weight") -> DataFrame:

@@ -134,23 +134,25 @@ def boxplot_stats(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
 def histogram(df: DataFrame, value_col: str, bins: int = 20) -> DataFrame:
     """Equal-width histogram over [min, max] (last bin closed) plus the median.
 
-    min, max and median are scalar subqueries (``DataFrame.scalar()``): Spark runs each
-    once and substitutes the value, so the bin expression stays inside codegen with no
-    join.  Then one group-by on the bin.  A value equal to max falls in the last bin,
-    as numpy does.
+    min, max and median come from one scalar subquery (``DataFrame.scalar()``),
+    referenced once in a projection, so Spark runs it once (one extra pass) and the bin
+    expression stays inside codegen with no join.  Then one group-by on the bin.  A
+    value equal to max falls in the last bin, as numpy does.
     """
     v = F.col(value_col).cast("double")
-    lo = df.agg(F.min(v)).scalar()
-    hi = df.agg(F.max(v)).scalar()
-    med = df.agg(F.percentile(v, 0.5)).scalar()
+    st = df.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"),
+                         F.percentile(v, 0.5).alias("med")).alias("s")).scalar()
+    x = df.select(v.alias("_v"), st.alias("_st"))
+    lo, hi = F.col("_st.lo"), F.col("_st.hi")
     width = hi - lo
     b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((v - lo) * bins / width), F.lit(bins - 1))).cast("int")
-    h = df.select(b.alias("bin")).groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
+        F.least(F.floor((F.col("_v") - lo) * bins / width), F.lit(bins - 1))).cast("int")
+    h = x.select(b.alias("bin"), "_st").groupBy("bin", "_st").agg(F.count(F.lit(1)).alias("n"))
+    w = F.col("_st.hi") - F.col("_st.lo")
     return h.select(
-        "bin", "n", med.alias("median"),
-        (lo + F.col("bin") * width / bins).alias("bin_low"),
-        (lo + (F.col("bin") + 1) * width / bins).alias("bin_high"),
+        "bin", "n", F.col("_st.med").alias("median"),
+        (F.col("_st.lo") + F.col("bin") * w / bins).alias("bin_low"),
+        (F.col("_st.lo") + (F.col("bin") + 1) * w / bins).alias("bin_high"),
     )
 
 
