@@ -128,31 +128,38 @@ def metrics_wide(metrics: DataFrame, key: str = "model", name_col: str = "metric
     return metrics.groupBy(key).pivot(name_col).agg(F.first(value_col))
 
 
-def stratified_split(df: DataFrame, id_col: str, label_col: str, test_size: float = 0.2, seed: int = 42,
-                     stratify: bool = True, n_buckets_hex: int = 3) -> DataFrame:
-    """ML2 / W5: exact split: the ceil(test_size * n_c) rows of each class with the
-    smallest md5(id:seed) (ties: id) go to 'test', the rest to 'train'.
+def first_k_per_class(df: DataFrame, id_col: str, class_col: Column, k_of_n, seed: int = 42,
+                      n_buckets_hex: int = 3, flag: str = "_in") -> DataFrame:
+    """Flag the k(n_c) rows of every class with the smallest md5(id:seed) (ties: id),
+    where ``k_of_n`` maps the class size column to the wanted count.
 
     Skew-safe (a class may hold a third of all rows): rows are counted per (class,
     hash bucket) — 16^3 buckets by the leading hex digits — and a prefix sum over that
-    small table finds, per class, the buckets wholly in test, wholly in train, and the
-    one boundary bucket; only rows of the boundary bucket are ranked by a window, and
-    that window's partition is ~n_c / 4096 rows."""
+    small table finds, per class, the buckets wholly in, wholly out, and the one
+    boundary bucket; only rows of the boundary bucket are ranked by a window, and that
+    window's partition is ~n_c / 4096 rows."""
     h = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
-    cls = F.col(label_col) if stratify else F.lit(0)
-    rows = df.withColumns({"_cls": cls, "_h": h,
+    rows = df.withColumns({"_cls": class_col, "_h": h,
                            "_b": F.conv(F.substring(h, 1, n_buckets_hex), 16, 10).cast("int")})
     counts = rows.groupBy("_cls", "_b").agg(F.count(F.lit(1)).alias("_n"))
     wc = Window.partitionBy("_cls").orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     counts = (counts.withColumn("_cum", F.sum("_n").over(wc))
               .withColumn("_nc", F.sum("_n").over(Window.partitionBy("_cls"))))
     counts = counts.select("_cls", "_b", (F.col("_cum") - F.col("_n")).alias("_before"),
-                           F.ceil(F.col("_nc") * test_size).alias("_target"), "_cum")
+                           k_of_n(F.col("_nc")).alias("_target"), "_cum")
     j = rows.join(counts, ["_cls", "_b"])
     boundary = (F.col("_before") < F.col("_target")) & (F.col("_cum") > F.col("_target"))
     rank = F.row_number().over(Window.partitionBy("_cls", "_b").orderBy("_h", id_col))
-    inner = j.filter(boundary).withColumn("_in", (F.col("_before") + rank) <= F.col("_target"))
-    outer = j.filter(~boundary).withColumn("_in", F.col("_cum") <= F.col("_target"))
-    out = inner.unionByName(outer)
-    return out.withColumn("split", F.when(F.col("_in"), F.lit("test")).otherwise(F.lit("train"))).drop(
-        "_cls", "_h", "_b", "_before", "_target", "_cum", "_in")
+    inner = j.filter(boundary).withColumn(flag, (F.col("_before") + rank) <= F.col("_target"))
+    outer = j.filter(~boundary).withColumn(flag, F.col("_cum") <= F.col("_target"))
+    return inner.unionByName(outer).drop("_cls", "_h", "_b", "_before", "_target", "_cum")
+
+
+def stratified_split(df: DataFrame, id_col: str, label_col: str, test_size: float = 0.2, seed: int = 42,
+                     stratify: bool = True, n_buckets_hex: int = 3) -> DataFrame:
+    """ML2 / W5: exact split: the ceil(test_size * n_c) rows of each class with the
+    smallest md5(id:seed) (ties: id) go to 'test', the rest to 'train' (skew-safe, see
+    ``first_k_per_class``; ``stratify=False`` uses one stratum)."""
+    cls = F.col(label_col) if stratify else F.lit(0)
+    out = first_k_per_class(df, id_col, cls, lambda n: F.ceil(n * test_size), seed, n_buckets_hex)
+    return out.withColumn("split", F.when(F.col("_in"), F.lit("test")).otherwise(F.lit("train"))).drop("_in")

@@ -134,20 +134,23 @@ def smote(df: DataFrame, id_col: str, label_col: str, vec: str, *, k: int = SMOT
     get ``synthetic = true``.  Neighbour choice and u come from hashes of (id, copy,
     seed), so the output is deterministic and identical on re-runs.
 
-    Copies are spread over a class by its row rank: n_needed // n_c copies each plus
-    one more for the first n_needed % n_c points (exact class sizes)."""
+    Copies are spread over a class: n_needed // n_c copies each plus one more for the
+    first n_needed % n_c points by hash rank (exact class sizes, no class-wide window)."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_nc"))
     n_max = counts.agg(F.max("_nc")).scalar()
     nb = vx.knn_same_class(df, id_col, label_col, vec, k)
     nbv = df.select(F.col(id_col).alias("nb_id"), F.col(vec).alias("_nbv"))
     nb = nb.join(nbv, "nb_id").select(id_col, "nb_rank", "_nbv")
     n_nb = nb.groupBy(id_col).agg(F.count(F.lit(1)).alias("_nnb"))
-    w = Window.partitionBy(label_col).orderBy(id_col)
-    base = (df.join(counts, label_col).join(n_nb, id_col)
+    # the first (need % n_c) points of each class (by hash rank, skew-safe) get one
+    # copy more than the others
+    extra = ev.first_k_per_class(df.join(counts, label_col), id_col, F.col(label_col),
+                                 lambda n: F.pmod(n_max - n, n),
+                                 seed, flag="_extra")
+    base = (extra.join(n_nb, id_col)
             .withColumn("_need", n_max - F.col("_nc"))
-            .withColumn("_rk", F.row_number().over(w) - 1)
             .withColumn("_copies", F.floor(F.col("_need") / F.col("_nc"))
-                        + F.when(F.col("_rk") < F.pmod(F.col("_need"), F.col("_nc")), 1).otherwise(0)))
+                        + F.when(F.col("_extra"), 1).otherwise(0)))
     rep = base.filter(F.col("_copies") > 0).select(
         id_col, label_col, vec, "_nnb", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_j"))
     rep = rep.withColumn("nb_rank", (F.pmod(F.xxhash64(id_col, "_j", F.lit(seed)), F.col("_nnb")) + 1).cast("int"))
