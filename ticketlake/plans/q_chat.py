@@ -223,3 +223,15 @@ def delete_counts(spark, sf_dir):
     pred = F.col("o_orderstatus") == "F"
     _, n_deleted = chat.delete_where(o, pred)
     return o.agg(F.count_if(~F.coalesce(pred, F.lit(False))).alias("n_kept"), n_deleted.alias("n_deleted"))
+
+
+@query("sessions_newest_first", sql="""
+SELECT o_orderkey AS session_id, o_custkey AS user_id, o_orderdate AS start_time FROM orders
+ORDER BY o_orderdate DESC NULLS LAST, o_orderkey""")
+def sessions_newest_first(spark, sf_dir):
+    """O5 + S9: every session, newest first: a projected scan and a global sort
+    (range-partitioned, no single-task sort)."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"),
+                                              F.col("o_custkey").alias("user_id"),
+                                              F.col("o_orderdate").alias("start_time"))
+    return o.orderBy(F.col("start_time").desc_nulls_last(), F.col("session_id"))

@@ -20,7 +20,8 @@ TABLES = (
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Plain scan of one test table."""
+    """Scan of one table; callers' ``select`` / ``filter`` become the scan's
+    ReadSchema and PushedFilters (the reference's find(filter, projection))."""
     if name not in TABLES:
         raise KeyError(f"unknown table {name!r}")
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
