@@ -259,3 +259,20 @@ def test_stratified_split_exact_counts(spark):
     got = {(r.lab, r.split): r.n for r in s.groupBy("lab", "split").agg(F.count("*").alias("n")).collect()}
     assert got[("big", "test")] == 140 and got[("mid", "test")] == 50 and got[("one", "test")] == 1
     assert s.count() == 951
+
+
+def test_blocked_lead_equals_lead(spark):
+    """next_row (blocked lead, skew-safe) equals a plain lead, across block edges and
+    empty blocks."""
+    from pyspark.sql import Window
+
+    from ticketlake.sources.tables import next_row
+
+    rnd = random.Random(1)
+    rows = [(rnd.randint(0, 3), t, f"x{t}") for t in rnd.sample(range(5000), 1500)]
+    df = spark.createDataFrame(rows, "k int, o long, v string")
+    a = {(r.k, r.o): (r.next_o, r.next_v) for r in next_row(df, "k", "o", ["v"], block=16).collect()}
+    w = Window.partitionBy("k").orderBy("o")
+    b = {(r.k, r.o): (r.n1, r.n2)
+         for r in df.select("k", "o", F.lead("o").over(w).alias("n1"), F.lead("v").over(w).alias("n2")).collect()}
+    assert a == b

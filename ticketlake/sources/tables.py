@@ -69,31 +69,44 @@ def test_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def next_row(df: DataFrame, key: str, order_col: str, cols: list[str], block: int = 1024) -> DataFrame:
+    """``lead`` of ``cols`` over ``key`` ordered by ``order_col`` (an integer), without
+    one window partition per key: rows are windowed per (key, order // block), and the
+    last row of a block takes the first row of the key's next non-empty block, found by
+    a window over the per-block heads (block-count rows per key).  A key holding a
+    third of all rows is spread over tasks."""
+    from pyspark.sql import Window
+
+    d = df.withColumn("_blk", F.floor(F.col(order_col) / block))
+    w = Window.partitionBy(key, "_blk").orderBy(order_col)
+    inner = d.select("*", *[F.lead(c).over(w).alias(f"_next_{c}") for c in [order_col] + cols])
+    heads = d.groupBy(key, "_blk").agg(F.min_by(F.struct(order_col, *cols), F.col(order_col)).alias("_h"))
+    wb = Window.partitionBy(key).orderBy("_blk")
+    nxt = heads.select(key, "_blk", F.lead("_h").over(wb).alias("_nh"))
+    j = inner.join(nxt, [key, "_blk"], "left")
+    out = j.select(*df.columns, *[
+        F.when(F.col(f"_next_{order_col}").isNotNull(), F.col(f"_next_{c}")).otherwise(F.col("_nh")[c])
+        .alias(f"next_{c}") for c in [order_col] + cols])
+    return out
+
+
 def qa_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Older role-row conversations turned into question/answer messages (P9 adapter).
 
     A user turn is a question; its answer is the next turn when that turn's role is
-    ``assistant`` (else null = still pending).  System turns are dropped.  ``lead``
-    over ``conv_id`` ordered by ``turn``: one shuffle by conversation, no self join.
+    ``assistant`` (else null = still pending).  System turns are dropped.  The next
+    turn comes from ``next_row`` (a blocked lead), so one long conversation never
+    becomes a single task's window partition.
     """
-    from pyspark.sql import Window
-
     conv = table(spark, sf_dir, "conversations").filter(F.col("role") != "system")
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    nxt_role = F.lead("role").over(w)
-    nxt_text = F.lead("text").over(w)
-    nxt_turn = F.lead("turn").over(w)
+    n = next_row(conv.select("conv_id", "turn", "role", "text"), "conv_id", "turn", ["role", "text"])
     return (
-        conv.select(
-            "conv_id", "turn", "role", "text",
-            nxt_role.alias("_nr"), nxt_text.alias("_nt"), nxt_turn.alias("_nturn"),
-        )
-        .filter(F.col("role") == "user")
+        n.filter(F.col("role") == "user")
         .select(
             F.col("conv_id").alias("session_id"),
             F.col("turn").alias("msg_pos"),
             F.col("text").alias("question"),
-            F.when(F.col("_nr") == "assistant", F.col("_nt")).alias("answer"),
-            F.when(F.col("_nr") == "assistant", F.col("_nturn")).alias("answer_turn"),
+            F.when(F.col("next_role") == "assistant", F.col("next_text")).alias("answer"),
+            F.when(F.col("next_role") == "assistant", F.col("next_turn")).alias("answer_turn"),
         )
     )
