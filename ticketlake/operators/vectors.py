@@ -44,6 +44,11 @@ def block_grid(left: DataFrame, right: DataFrame, left_id: str, right_id: str, f
     rb = F.pmod(F.xxhash64(F.col(right_id)), F.lit(nr)).cast("int")
     L = left.select("*", lb.alias("_lb"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("_rb"))
     R = right.select("*", rb.alias("_rb"), F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("_lb"))
+    # Cells are CPU-bound numpy work: an explicit partition count (not coalesced by
+    # AQE) keeps them spread over all cores / executors, co-partitioned on both sides.
+    p = max(1, min(nl * nr, 2 * left.sparkSession.sparkContext.defaultParallelism))
+    L = L.repartition(p, "_lb", "_rb")
+    R = R.repartition(p, "_lb", "_rb")
     return L.groupBy("_lb", "_rb").cogroup(R.groupBy("_lb", "_rb")).applyInPandas(fn, schema=schema)
 
 
