@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ticketlake.functions.scalar import safe_ratio
+from ticketlake.operators.quantiles import exact_quantiles
 
 
 def _flag(c: str) -> Column:
@@ -109,15 +110,12 @@ def boxplot_stats(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
     """q1, median, q3 (linear interpolation, exact), whiskers at the furthest points
     inside 1.5 IQR, and the outlier count, per group.
 
-    Two aggregates: exact percentiles first (one row per group), then a join back to
-    the rows for whiskers and outliers.  The per-group table holds one row per group,
+    Exact quantiles by bucket selection (``operators.quantiles``: no group is gathered
+    in one task), then a join back to the rows for whiskers and outliers.  The per-group table holds one row per group,
     so the join is a broadcast hash join when AQE measures it small.
     """
-    q = df.groupBy(group_col).agg(
-        F.percentile(F.col(value_col).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q")
-    ).select(
-        group_col,
-        F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"), F.col("_q")[2].alias("q3"),
+    q = exact_quantiles(df, value_col, [group_col], [0.25, 0.5, 0.75]).select(
+        group_col, F.col("q0").alias("q1"), F.col("q1").alias("median"), F.col("q2").alias("q3"),
     ).withColumn("iqr", F.col("q3") - F.col("q1"))
     lo = F.col("q1") - 1.5 * F.col("iqr")
     hi = F.col("q3") + 1.5 * F.col("iqr")
@@ -140,8 +138,9 @@ def histogram(df: DataFrame, value_col: str, bins: int = 20) -> DataFrame:
     value equal to max falls in the last bin, as numpy does.
     """
     v = F.col(value_col).cast("double")
-    st = df.agg(F.struct(F.min(v).alias("lo"), F.max(v).alias("hi"),
-                         F.percentile(v, 0.5).alias("med")).alias("s")).scalar()
+    med = exact_quantiles(df, value_col, [], [0.5]).select("q0")
+    st = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).crossJoin(med) \
+        .select(F.struct(F.col("lo"), F.col("hi"), F.col("q0").alias("med")).alias("s")).scalar()
     x = df.select(v.alias("_v"), st.alias("_st"))
     lo, hi = F.col("_st.lo"), F.col("_st.hi")
     width = hi - lo
