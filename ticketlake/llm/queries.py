@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm import ngram_join
+from ticketlake.llm import line_dedup, ngram_join
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -27,6 +27,17 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_classes(_table(spark, sf_dir, "documents"))
 
 
+@_query
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: its lines' classes (first occurrence, size) and the text left."""
+    found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    linked = F.filter("_lines", lambda x: x["copies"] > 1)
+    return found.select(
+        "doc_id", F.coalesce(F.size("_lines"), F.lit(0)).alias("n_lines"),
+        F.coalesce(F.size(F.filter("_lines", lambda x: (x["first_doc"] == F.col("doc_id")) & (x["first_pos"] == x["pos"]))), F.lit(0)).alias("n_kept"),
+        F.array_sort(F.coalesce(linked, F.array())).alias("linked_lines"), F.sha2("_text", 256).alias("text_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
