@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm import line_dedup, ngram_join
+from ticketlake.llm import bpe, line_dedup, ngram_join, url_filter
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -38,6 +39,45 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array_sort(F.coalesce(linked, F.array())).alias("linked_lines"), F.sha2("_text", 256).alias("text_sha256"))
 
 
+URL_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+_ORACLES["op4_url_filter"] = """
+WITH cut AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END AS rest FROM pages),
+parts AS (
+  SELECT page_id,
+    translate(coalesce(regexp_extract(rest, '^[^/?#]*'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM cut),
+rules(rule, rhost, rpath, what) AS (VALUES
+  ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+  ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+fits AS (
+  SELECT page_id, host, path, rule, what,
+    row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC NULLS LAST, length(rhost) DESC) AS k
+  FROM parts LEFT JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(what, 'allow') AS verdict FROM fits WHERE k = 1
+"""
+
+
+@_query
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), URL_RULES)
+
+
+def rank_file() -> str:
+    """The rank file of the byte-level vocabulary; LLM_BPE_RANKS names another one."""
+    if "LLM_BPE_RANKS" in os.environ:
+        return os.environ["LLM_BPE_RANKS"]
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@_query
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), rank_file()))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
