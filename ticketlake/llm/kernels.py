@@ -54,13 +54,15 @@ class SpanHasher:
 
 
 class Words:
-    """Words of a batch of texts: lower case, split at white space.
+    """Words of a batch of texts: split at white space, in lower case unless told otherwise.
 
     ``start`` / ``end`` are byte offsets into ``buf`` (one blank between words, a line
     feed between documents), ``first[d] : first[d + 1]`` are the words of document d."""
 
-    def __init__(self, texts: list[str | None]):
-        flat = "\n".join([" ".join((t or "").lower().split()) for t in texts])
+    def __init__(self, texts: list[str | None], lower: bool = True):
+        flat = "\n".join([" ".join((t or "").split()) for t in texts])
+        if lower:
+            flat = flat.lower()
         self.buf = np.frombuffer(flat.encode("utf-8", "surrogatepass"), np.uint8)
         gap = np.ones(len(self.buf) + 2, bool)
         gap[1:-1] = (self.buf == 32) | (self.buf == 10)
