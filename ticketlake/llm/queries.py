@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ticketlake.llm import bpe, chat_format, license_scan, line_dedup, ngram_join, quality, toxicity, url_filter
+from ticketlake.llm import (
+    bpe, chat_format, decontaminate, license_scan, line_dedup, ngram_join, quality, toxicity, url_filter, vector_dedup,
+)
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -83,6 +85,16 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encode(_table(spark, sf_dir, "documents"), rank_file()))
 
 
+@_query
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: the benchmark items it holds, with the best score."""
+    found = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    hits = decontaminate.HITS
+    return found.select(
+        "doc_id", F.size(hits).alias("n_items"), F.transform(hits, lambda x: x["item"]).alias("item_ids"),
+        F.array_max(F.transform(hits, lambda x: x["score"])).alias("best_score"), (F.size(hits) > 0).alias("contaminated"))
+
+
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 
 
@@ -99,6 +111,11 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+@_query
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 @_query
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.document_licenses(_table(spark, sf_dir, "documents"))
