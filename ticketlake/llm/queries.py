@@ -34,11 +34,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its lines' classes (first occurrence, size) and the text left."""
     found = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
-    linked = F.filter("_lines", lambda x: x["copies"] > 1)
+    linked = F.filter(line_dedup.LINES, lambda x: x["copies"] > 1)
     return found.select(
-        "doc_id", F.coalesce(F.size("_lines"), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size(F.filter("_lines", lambda x: (x["first_doc"] == F.col("doc_id")) & (x["first_pos"] == x["pos"]))), F.lit(0)).alias("n_kept"),
-        F.array_sort(F.coalesce(linked, F.array())).alias("linked_lines"), F.sha2("_text", 256).alias("text_sha256"))
+        "doc_id", F.coalesce(F.size(line_dedup.LINES), F.lit(0)).alias("n_lines"),
+        F.coalesce(F.size(F.filter(line_dedup.LINES, lambda x: (x["first_doc"] == F.col("doc_id")) & (x["first_pos"] == x["pos"]))), F.lit(0)).alias("n_kept"),
+        F.array_sort(F.coalesce(linked, F.array())).alias("linked_lines"), F.sha2(line_dedup.KEPT, 256).alias("text_sha256"))
 
 
 @_query
