@@ -26,6 +26,9 @@ EXPORT_TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
 NOT_A_TIME = "unknown"
 # Pending-answer status: below 5 seconds "thinking", otherwise "still looking".
 THINKING_SECONDS = 5
+# White space that the reference's strip() removes.
+WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006"
+              "\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 # ---------------------------------------------------------------------------------------
 
 
@@ -57,19 +60,19 @@ def normalise_priority(p) -> Column:
     return F.when(p == "Critical", F.lit("High")).otherwise(p)
 
 
-def normalise_sentiment(s) -> Column:
-    """sentiment label trimmed and lower-cased."""
-    return F.lower(F.trim(_c(s)))
+def strip(c) -> Column:
+    """White space of any kind off both ends (``trim`` alone takes blanks only)."""
+    return F.btrim(_c(c), F.lit(WHITESPACE))
 
 
-def normalise_name(s) -> Column:
-    """F3 on values: trim, lower, collapse runs of whitespace to one space."""
-    return F.regexp_replace(F.lower(F.trim(_c(s))), r"\s+", " ")
+def normalise_sentiment(s) -> Column:
+    """sentiment label stripped and lower-cased."""
+    return F.lower(strip(s))
 
 
-def contains_ci(haystack, needle) -> Column:
-    """literal, case-insensitive containment (no regex, so no escaping issue)."""
-    return F.contains(F.lower(_c(haystack)), F.lower(_c(needle)))
+def normalise_name(s) -> Column:
+    """F3 on values: strip, lower, collapse runs of whitespace to one space."""
+    return F.regexp_replace(F.lower(strip(s)), "[" + WHITESPACE + "]+", " ")
 
 
 def dot(a, b) -> Column:

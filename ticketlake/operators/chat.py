@@ -79,9 +79,11 @@ def merge_sessions(old: DataFrame, new_msgs: DataFrame, ts_col: str, user_col: s
     )
 
 
-def session_topic(messages: DataFrame, tag_col: str = "intent_tag", order_col: str = "msg_pos") -> DataFrame:
+def session_topic(messages: DataFrame, tag_col: str = "intent_tag", order_col: str = "msg_pos",
+                  sessions: DataFrame | None = None) -> DataFrame:
     """A10: most frequent tag of the session, ties to the tag met first (T26); without
-    tags the first three words of the first question joined by ', '; else 'No topic'.
+    tags the first three words of the first question joined by ', '; 'No topic' for a
+    session of ``sessions`` (session_id) that has no message.
 
     Two keyed aggregates and one row_number = 1 window, all partitioned by session;
     the fallback text is a min_by, so nothing per session is collected.
@@ -97,8 +99,12 @@ def session_topic(messages: DataFrame, tag_col: str = "intent_tag", order_col: s
     words = F.filter(F.split(F.lower(F.coalesce(F.col("_q").cast("string"), F.lit(""))),
                              r"[ \t\n\x0B\f\r]+"), lambda x: x != "")
     fallback = F.array_join(F.slice(words, 1, TOPIC_WORDS), TOPIC_JOIN)
-    return first_q.join(best, "session_id", "left").select(
+    topics = first_q.join(best, "session_id", "left").select(
         "session_id", F.coalesce(F.col("_tag"), fallback).alias("topic"))
+    if sessions is None:
+        return topics
+    return sessions.select("session_id").distinct().join(topics, "session_id", "left").select(
+        "session_id", F.coalesce("topic", F.lit(NO_TOPIC)).alias("topic"))
 
 
 def session_search(sessions: DataFrame, messages: DataFrame, pattern: str,
@@ -157,17 +163,20 @@ def pending_messages(messages: DataFrame, time_col: str, as_of) -> DataFrame:
 
 def apply_changes(table: DataFrame, changes: DataFrame, key: str, order_col: str,
                   value_cols: Sequence[str]) -> DataFrame:
-    """M4: change rows (op in 'update' | 'delete', key, order, new values): the latest
-    op per key wins; deletes remove the row (left anti join), updates overwrite the
-    non-null new values (left join + coalesce); unknown keys are ignored."""
-    w = Window.partitionBy(key).orderBy(F.col(order_col).desc())
-    last = changes.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    dels = last.filter(F.col("op") == "delete").select(key)
-    ups = last.filter(F.col("op") == "update").select(key, *[F.col(c).alias(f"_new_{c}") for c in value_cols])
-    kept = table.join(dels, key, "left_anti")
-    j = kept.join(ups, key, "left")
-    return j.select(*[F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in value_cols else F.col(c)
-                      for c in table.columns])
+    """M4: change rows (op in 'update' | 'delete', key, order, new values) applied one
+    after the other.
+
+    A deleted key is gone for good: a later update of it hits nothing.  Every column
+    keeps its last non-null update, so partial updates add up; unknown keys are ignored;
+    of updates with equal order the larger value counts.  One aggregate per key with partials on the map side (a key with very many changes
+    is no hot task), then one left join."""
+    def last(c: str) -> Column:
+        return F.max_by(c, F.when((F.col("op") == "update") & F.col(c).isNotNull(), F.struct(order_col, c)))
+
+    net = changes.groupBy(F.col(key).alias("_key")).agg(
+        F.max(F.col("op") == "delete").alias("_gone"), *[last(c).alias(f"_new_{c}") for c in value_cols])
+    j = table.join(net, table[key] == net["_key"], "left").filter(~F.coalesce("_gone", F.lit(False)))
+    return j.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in value_cols else F.col(c) for c in table.columns])
 
 
 def apply_message_updates(messages: DataFrame, updates: DataFrame, value_cols: Sequence[str]) -> DataFrame:

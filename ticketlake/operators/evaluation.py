@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ticketlake.session import materialize
+
 # ---- fixed values (must equal the reference's for right results) --------------------
 ACCURACY_ROW, MACRO_ROW, WEIGHTED_ROW = "accuracy", "macro avg", "weighted avg"
 # ---------------------------------------------------------------------------------------
@@ -25,29 +27,28 @@ def join_truth(truth: DataFrame, pred: DataFrame, key: str, true_col: str, pred_
 
 
 def confusion_counts(yy: DataFrame) -> DataFrame:
-    """(y_true, y_pred, n) for the pairs that occur."""
-    return yy.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n"))
-
+    """(y_true, y_pred, n) for the pairs that occur: at most k x k rows, written once, so
+    that every score below starts from them and the predictions are computed once.  A row
+    without a true or a predicted label is in no score."""
+    pairs = yy.filter("y_true is not null and y_pred is not null")
+    return materialize(pairs.groupBy("y_true", "y_pred").agg(F.count(F.lit(1)).alias("n")))
 
-def label_set(yy: DataFrame) -> DataFrame:
-    """Union of true and predicted labels."""
-    return yy.select(F.col("y_true").alias("label")).union(yy.select(F.col("y_pred").alias("label"))).distinct()
 
-
-def per_class(yy: DataFrame) -> DataFrame:
-    """(label, tp, support, predicted) for every label of the union."""
-    cc = confusion_counts(yy)
-    tp = cc.filter(F.col("y_true") == F.col("y_pred")).select(F.col("y_true").alias("label"), F.col("n").alias("tp"))
-    sup = cc.groupBy(F.col("y_true").alias("label")).agg(F.sum("n").alias("support"))
-    prd = cc.groupBy(F.col("y_pred").alias("label")).agg(F.sum("n").alias("predicted"))
-    return (label_set(yy).join(tp, "label", "left").join(sup, "label", "left").join(prd, "label", "left")
-            .fillna(0, ["tp", "support", "predicted"]))
+def per_class(cc: DataFrame) -> DataFrame:
+    """(label, tp, support, predicted) for every true or predicted label."""
+    side = F.explode(F.array(
+        F.struct(F.col("y_true").alias("label"), F.col("n").alias("support"), F.lit(0).cast("long").alias("predicted"),
+                 F.when(F.col("y_true") == F.col("y_pred"), F.col("n")).otherwise(0).alias("tp")),
+        F.struct(F.col("y_pred").alias("label"), F.lit(0).cast("long").alias("support"), F.col("n").alias("predicted"),
+                 F.lit(0).cast("long").alias("tp"))))
+    return cc.select(side.alias("s")).groupBy("s.label").agg(
+        F.sum("s.tp").alias("tp"), F.sum("s.support").alias("support"), F.sum("s.predicted").alias("predicted"))
 
 
 def classification_report(yy: DataFrame) -> DataFrame:
     """Rows per class (precision, recall, f1, support) plus the accuracy,
     macro-average and weighted-average rows, zero_division = 0 (T21)."""
-    pc = per_class(yy)
+    pc = per_class(confusion_counts(yy))
 
     def z(num, den):
         return F.coalesce(F.try_divide(num.cast("double"), den.cast("double")), F.lit(0.0))
@@ -91,15 +92,13 @@ def summary_scores(yy: DataFrame) -> DataFrame:
 
 
 def confusion_matrix(yy: DataFrame) -> DataFrame:
-    """Every (true, predicted) pair of the sorted label union, zeros filled, in
-    long form.  Built by pivoting the counts on the k labels and unpivoting back: the
-    only driver-side value is the list of k label names the pivot needs."""
-    labels = sorted(r[0] for r in label_set(yy).collect())  # k class names
-    wide = confusion_counts(yy).groupBy("y_true").pivot("y_pred", labels).agg(F.sum("n"))
-    full = label_set(yy).select(F.col("label").alias("y_true")).join(wide, "y_true", "left").fillna(0)
-    cells = F.array(*[F.struct(F.lit(lbl).alias("y_pred"), F.col(f"`{lbl}`").cast("bigint").alias("n"))
-                      for lbl in labels])
-    return full.select("y_true", F.inline(cells))
+    """Every (true, predicted) pair of the label union, zeros filled, in long form:
+    the k labels, each with the sorted array of all k, joined with the counts."""
+    cc = confusion_counts(yy)
+    labels = per_class(cc).select("label")
+    every = labels.agg(F.sort_array(F.collect_set("label"))).scalar()
+    grid = labels.select(F.col("label").alias("y_true"), F.explode(every).alias("y_pred"))
+    return grid.join(cc, ["y_true", "y_pred"], "left").select("y_true", "y_pred", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
 
 
 def class_weights(df: DataFrame, label_col: str) -> DataFrame:
@@ -114,7 +113,7 @@ def class_weights(df: DataFrame, label_col: str) -> DataFrame:
 def with_class_weights(df: DataFrame, label_col: str, weight_col: str = "weight") -> DataFrame:
     """A18 joined back as a ``weightCol`` (the class table has k rows)."""
     w = class_weights(df, label_col).select(label_col, F.col("weight").alias(weight_col))
-    return df.join(F.broadcast(w), label_col)
+    return df.join(w, label_col)
 
 
 def metric_mean_std(metrics: DataFrame, keys: Sequence[str] = ("model", "task", "metric")) -> DataFrame:
@@ -123,9 +122,10 @@ def metric_mean_std(metrics: DataFrame, keys: Sequence[str] = ("model", "task",
                                       F.count(F.lit(1)).alias("n_runs"))
 
 
-def metrics_wide(metrics: DataFrame, key: str = "model", name_col: str = "metric", value_col: str = "mean") -> DataFrame:
-    """Long metric table -> one row per model, one column per metric."""
-    return metrics.groupBy(key).pivot(name_col).agg(F.first(value_col))
+def metrics_wide(metrics: DataFrame, names: Sequence[str], key: str = "model", name_col: str = "metric",
+                 value_col: str = "mean") -> DataFrame:
+    """Long metric table -> one row per model, one column per metric of ``names``."""
+    return metrics.groupBy(key).pivot(name_col, list(names)).agg(F.first(value_col))
 
 
 def first_k_per_class(df: DataFrame, id_col: str, class_col: Column, k_of_n, seed: int = 42,

@@ -135,9 +135,11 @@ def histogram(df: DataFrame, value_col: str, bins: int = 20) -> DataFrame:
     min, max and median come from one scalar subquery (``DataFrame.scalar()``),
     referenced once in a projection, so Spark runs it once (one extra pass) and the bin
     expression stays inside codegen with no join.  Then one group-by on the bin.  A
-    value equal to max falls in the last bin, as numpy does.
+    value equal to max falls in the last bin, as numpy does.  Null and NaN are in no bin
+    and not in the median.
     """
     v = F.col(value_col).cast("double")
+    df = df.filter(v.isNotNull() & ~F.isnan(v))
     med = exact_quantiles(df, value_col, [], [0.5]).select("q0")
     st = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).crossJoin(med) \
         .select(F.struct(F.col("lo"), F.col("hi"), F.col("q0").alias("med")).alias("s")).scalar()

@@ -30,12 +30,14 @@ from ticketlake.functions.text import TOKEN_PATTERN
 from ticketlake.operators import evaluation as ev
 from ticketlake.operators import vectors as vx
 from ticketlake.operators.text import fit_tfidf
+from ticketlake.session import materialize
 
 # ---- fixed values (must equal the reference's for right results) --------------------
 SEED = 42
 TEST_SIZE = 0.2
 LR_C = 1.0
 RF_TREES = 100
+RF_DEPTH = 30  # Spark's own limit
 SMOTE_NEIGHBOURS = 5
 EMPTY_TEXT_SENTIMENT = "neutral"
 FAILED_SENTIMENT, FAILED_PRIORITY = "unknown", "Low"
@@ -65,7 +67,7 @@ def logistic_regression(n_train: int, *, C: float = LR_C, max_iter: int = 1000,
 def linear_ovr(*, features: str = "features", label: str = "label_idx", weight_col: str | None = None) -> OneVsRest:
     """ML4: one-vs-rest linear classifiers with log loss (SGD in the reference; same
     objective, another optimiser)."""
-    base = LogisticRegression(featuresCol=features, labelCol=label, regParam=1e-4, maxIter=200)
+    base = LogisticRegression(featuresCol=features, labelCol=label, regParam=1e-4, maxIter=1000)
     ovr = OneVsRest(classifier=base, featuresCol=features, labelCol=label)
     if weight_col:
         ovr.setWeightCol(weight_col)
@@ -73,8 +75,9 @@ def linear_ovr(*, features: str = "features", label: str = "label_idx", weight_c
 
 
 def random_forest(*, features: str = "features", label: str = "label_idx", weight_col: str | None = None,
-                  trees: int = RF_TREES, max_depth: int = 12) -> RandomForestClassifier:
-    """ML5: random forest, balanced weights through ``weightCol``, seed 42."""
+                  trees: int = RF_TREES, max_depth: int = RF_DEPTH) -> RandomForestClassifier:
+    """ML5: random forest, balanced weights through ``weightCol``, seed 42; trees as deep
+    as Spark lets them grow (the reference sets no limit)."""
     rf = RandomForestClassifier(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=max_depth,
                                 featureSubsetStrategy="sqrt", seed=SEED)
     if weight_col:
@@ -136,7 +139,10 @@ def smote(df: DataFrame, id_col: str, label_col: str, vec: str, *, k: int = SMOT
 
     Copies are spread over a class: n_needed // n_c copies each plus one more for the
     first n_needed % n_c points by hash rank (exact class sizes, no class-wide window)."""
-    counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_nc"))
+    counts = materialize(df.groupBy(label_col).agg(F.count(F.lit(1)).alias("_nc")))
+    alone = [r[0] for r in counts.filter("_nc = 1").select(label_col).limit(5).collect()]
+    if alone and not counts.filter("_nc > 1").isEmpty():
+        raise ValueError(f"a class of one row has no neighbour to interpolate with: {alone}")
     n_max = counts.agg(F.max("_nc")).scalar()
     nb = vx.knn_same_class(df, id_col, label_col, vec, k)
     nbv = df.select(F.col(id_col).alias("nb_id"), F.col(vec).alias("_nbv"))
@@ -233,8 +239,8 @@ def predict_sentiment(df: DataFrame, text_col: str, model: PipelineModel | None,
 
 
 def train_text_classifier(df: DataFrame, label_col: str, *, text_col: str = "text", kind: str = "lr",
-                          max_features: int | None = 20000, min_df: float = 2.0, ngrams: int = 1,
-                          balanced: bool = True) -> PipelineModel:
+                          max_features: int | None = None, min_df: float = 1.0, ngrams: int = 1,
+                          balanced: bool = False) -> PipelineModel:
     """ML16 building block: TF-IDF (smooth IDF) + classifier + label decoding as one
     PipelineModel (saved / loaded with ``save_model`` / ``load_model``, S15)."""
     feats = fit_tfidf(df, text_col, "features", max_features=max_features, min_df=min_df, ngrams=ngrams)
@@ -279,12 +285,15 @@ def evaluate_classification(df: DataFrame, id_col: str, label_col: str, features
 
 def evaluate_clustering(df: DataFrame, id_col: str, features_vec: str, array_col: str, k: int, *,
                         seed: int = SEED, standardize_first: bool = False) -> DataFrame:
-    """ML13: K-Means -> exact silhouette + Davies-Bouldin; one row."""
+    """ML13: K-Means -> exact silhouette + Davies-Bouldin of the vectors that were
+    clustered (the scaled ones with ``standardize_first``); one row."""
     x = standardize(df, features=features_vec, out="_km_in") if standardize_first else \
         df.withColumn("_km_in", F.col(features_vec))
-    c = kmeans(x, k, features="_km_in", seed=seed)
-    sil = vx.silhouette(c, id_col, "cluster", array_col)
-    db = vx.davies_bouldin(c, id_col, "cluster", array_col)
+    c = to_array(kmeans(x, k, features="_km_in", seed=seed), "_km_in", "_km_vec") if standardize_first else \
+        kmeans(x, k, features="_km_in", seed=seed).withColumn("_km_vec", F.col(array_col))
+    c = materialize(c.select(id_col, "cluster", "_km_vec"))  # both scores read it
+    sil = vx.silhouette(c, id_col, "cluster", "_km_vec")
+    db = vx.davies_bouldin(c, id_col, "cluster", "_km_vec")
     return sil.join(db.drop("n_clusters"), how="inner")
 
 

@@ -8,7 +8,6 @@ Column *names* are metadata: mapping them (P1) is a driver-side look at
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketlake.functions.scalar import (
-    coerce_double, coerce_timestamp, normalise_priority, normalise_sentiment, rating_to_sentiment,
+    coerce_double, coerce_timestamp, normalise_priority, normalise_sentiment, rating_to_sentiment, strip,
 )
 
 # ---- fixed values (must equal the reference's for right results) --------------------
@@ -41,75 +40,94 @@ IMPORT_FORMATS = {
 DROPPED_LABELS = ["", "unknown"]
 # ---------------------------------------------------------------------------------------
 
+# Ways in which a column can be named after a field, best first.
+NAMED_EXACTLY, NAMED_PARTLY = 0, 1
 
-def _norm_name(text) -> str:
-    return re.sub(r"\s+", " ", str(text).strip().lower())
+
+def name_matches(columns: Sequence[str]) -> list[tuple[str, int, int]]:
+    """Every (field, rank of the match, column position) that holds: the column's name
+    (lower case, single blanks) is one of the field's synonyms, or contains one or is
+    contained in one.  An empty name is contained in every synonym (T23)."""
+    names = [" ".join(c.lower().split()) for c in columns]
+    found = []
+    for field, synonyms in CANON.items():
+        known = frozenset(synonyms)
+        for position, name in enumerate(names):
+            if name in known:
+                found.append((field, NAMED_EXACTLY, position))
+            elif any(name in word or word in name for word in known):
+                found.append((field, NAMED_PARTLY, position))
+    return found
 
 
 def detect_schema(columns: Sequence[str]) -> dict[str, str | None]:
-    """Canonical field -> first matching column: exact synonym first, then a
-    two-way partial match (T23: "Ticket" matches "ticket description"; an empty
-    column name matches everything)."""
-    norm_cols = [_norm_name(c) for c in columns]
-    out: dict[str, str | None] = {}
-    for key, syns in CANON.items():
-        s = [_norm_name(x) for x in syns]
-        hit = next((columns[i] for i, c in enumerate(norm_cols) if c in s), None)
-        if hit is None:
-            hit = next((columns[i] for i, c in enumerate(norm_cols)
-                        if any(x in c or c in x for x in s)), None)
-        out[key] = hit
-    return out
+    """Canonical field -> the column that names it best (leftmost of equals), or
+    None."""
+    best: dict[str, str | None] = dict.fromkeys(CANON)
+    for field, _, position in sorted(name_matches(columns), reverse=True):
+        best[field] = columns[position]  # worst first: the last assignment is the best match
+    return best
 
 
 def detect_format(df: DataFrame, data_type: str) -> bool:
     """Does the frame carry the columns of the import type?"""
-    need = IMPORT_FORMATS[data_type]
-    return all(c in df.columns for c in need)
+    return set(IMPORT_FORMATS[data_type]) <= set(df.columns)
+
+
+def import_records(df: DataFrame, data_type: str, source: str) -> DataFrame:
+    """Rows of one import type (FAQ, default messages, knowledge): exactly its
+    columns as text, with provenance (S8).  A frame of another shape is refused."""
+    from ticketlake.sources.files import with_provenance
+
+    if not detect_format(df, data_type):
+        raise ValueError(f"{data_type} needs columns {IMPORT_FORMATS[data_type]}, found {df.columns}")
+    return with_provenance(df.select(*[F.col(c).cast("string").alias(c) for c in IMPORT_FORMATS[data_type]]), source)
 
 
 def from_raw(df: DataFrame, *, compat_nan_text: bool = False) -> DataFrame:
-    """Raw ticket table -> (description, priority, sentiment).
-
-    Missing canonical fields raise with the list of what is missing and what was
-    found.  ``compat_nan_text`` reproduces T2 (null text read as the string 'nan').
-    """
-    m = detect_schema(df.columns)
-    need = {k: m.get(k) for k in ("description", "priority", "satisfaction")}
-    missing = [k for k, v in need.items() if not v]
-    if missing:
-        raise ValueError(f"Raw table missing required fields: {missing}. Columns found: {df.columns}")
-
-    def text(c: str) -> Column:
-        x = F.col(f"`{c}`").cast("string")
-        if compat_nan_text:
-            x = F.coalesce(x, F.lit("nan"))
-        return F.trim(x)
-
-    extra = [F.col(f"`{m['id']}`").alias("ticket_id")] if m.get("id") else []
-    out = df.select(*extra,
-                    text(need["description"]).alias("description"),
-                    text(need["priority"]).alias("priority"),
-                    rating_to_sentiment(F.col(f"`{need['satisfaction']}`")).alias("sentiment"))
-    return required_fields(out, REQUIRED_CANON)
+    """Raw ticket table -> (ticket_id if there is one, description, priority,
+    sentiment), stripped, rows with a null in a required field dropped.
+
+    A field that no column names is an error.  ``compat_nan_text`` reads a null text as
+    the string 'nan' (T2)."""
+    column = detect_schema(df.columns)
+    absent = sorted(f for f in ("description", "priority", "satisfaction") if column[f] is None)
+    if absent:
+        raise ValueError(f"no column for {', '.join(absent)} among {', '.join(df.columns)}")
+
+    def own(field: str) -> Column:
+        return F.col("`" + column[field].replace("`", "``") + "`")
+
+    def words(field: str) -> Column:
+        text = own(field).cast("string")
+        return strip(F.coalesce(text, F.lit("nan")) if compat_nan_text else text)
+
+    projected = {"description": words("description"), "priority": words("priority"),
+                 "sentiment": rating_to_sentiment(own("satisfaction"))}
+    if column["id"] is not None:
+        projected = {"ticket_id": own("id"), **projected}
+    return required_fields(df.select(*[c.alias(name) for name, c in projected.items()]), REQUIRED_CANON)
 
 
 def load_preprocessed_or_raw(spark: SparkSession, pre_path: str | None, raw_path: str | None,
                              schema: T.StructType | None = None) -> tuple[DataFrame, str]:
-    """Use the prepared table when it exists, else prepare the raw one; returns
-    (frame, 'preprocessed:<path>' | 'raw:<path>').  Existence is a Hadoop FS check,
-    so it works for any cluster file system."""
+    """The prepared table if it exists, else the raw one put into its form; with a
+    tag naming which (``preprocessed:<path>`` or ``raw:<path>``).  The files are looked
+    for through their Hadoop file system, so any cluster store works."""
     from ticketlake.sources.files import path_exists, read_csv
 
-    if pre_path and path_exists(spark, pre_path):
-        df = read_csv(spark, pre_path, schema=schema)
-        missing = [c for c in REQUIRED_CANON if c not in df.columns]
-        if missing:
-            raise ValueError(f"Preprocessed table missing {missing}: {pre_path}")
-        return required_fields(df, REQUIRED_CANON), f"preprocessed:{pre_path}"
-    if raw_path and path_exists(spark, raw_path):
-        return from_raw(read_csv(spark, raw_path)), f"raw:{raw_path}"
-    raise FileNotFoundError("No CSV found (neither preprocessed nor raw).")
+    def prepared(path: str) -> DataFrame:
+        df = read_csv(spark, path, schema=schema)
+        lacking = set(REQUIRED_CANON) - set(df.columns)
+        if lacking:
+            raise ValueError(f"prepared table {path} lacks {', '.join(sorted(lacking))}")
+        return required_fields(df, REQUIRED_CANON)
+
+    readers = {"preprocessed": (pre_path, prepared), "raw": (raw_path, lambda path: from_raw(read_csv(spark, path)))}
+    for tag, (path, read) in readers.items():
+        if path and path_exists(spark, path):
+            return read(path), f"{tag}:{path}"
+    raise FileNotFoundError(f"neither {pre_path} nor {raw_path} exists")
 
 
 def training_frame(df: DataFrame, label_col: str) -> DataFrame:
@@ -139,10 +157,12 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
 def basic_hygiene(df: DataFrame, text_col: str = "description", min_len: int = 10,
                   dedup: bool = True, order: Sequence[Column | str] = ()) -> DataFrame:
     """P5 + W3: drop texts shorter than ``min_len`` characters, then keep the first row
-    of every duplicate text (first in ``order``)."""
+    of every duplicate text.  A table has no order of its own, so "first" needs ``order``."""
     out = df.filter(F.length(F.col(text_col)) >= min_len)
     if dedup:
-        out = keep_first(out, [text_col], list(order) or [F.monotonically_increasing_id()])
+        if not order:
+            raise ValueError("keeping the first of equal texts needs an order")
+        out = keep_first(out, [text_col], list(order))
     return out
 
 
@@ -152,8 +172,8 @@ def required_fields(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def label_filter(df: DataFrame, label_col: str) -> DataFrame:
-    """Drop blank labels and any case of 'unknown' (after trim)."""
-    lab = F.lower(F.trim(F.col(label_col).cast("string")))
+    """Drop blank labels and any case of 'unknown' (after strip)."""
+    lab = F.lower(strip(F.col(label_col).cast("string")))
     return df.filter(F.col(label_col).isNotNull() & ~lab.isin(*DROPPED_LABELS))
 
 
@@ -165,8 +185,8 @@ def fill_text(df: DataFrame, text_col: str, value: str = "") -> DataFrame:
 def required_pair(df: DataFrame, a: str, b: str) -> tuple[DataFrame, DataFrame]:
     """Rows with both fields non-empty go in; the others go to a reject table
     with the reason."""
-    ok = (F.coalesce(F.length(F.trim(F.col(a))), F.lit(0)) > 0) & \
-         (F.coalesce(F.length(F.trim(F.col(b))), F.lit(0)) > 0)
+    ok = (F.coalesce(F.length(strip(F.col(a))), F.lit(0)) > 0) & \
+         (F.coalesce(F.length(strip(F.col(b))), F.lit(0)) > 0)
     good = df.filter(ok)
     bad = df.filter(~ok).withColumn("reject_reason", F.lit(f"{a} and {b} are required"))
     return good, bad
@@ -196,3 +216,12 @@ def union_ragged(parts: Sequence[DataFrame], numeric_cols: Sequence[str] = (),
         if c in out.columns:
             cols[c] = coerce_timestamp(c)
     return out.withColumns(cols) if cols else out
+
+
+def select_logs(logs: dict[str, DataFrame], log_type: str | None = None, **casts) -> DataFrame:
+    """U1 with a choice: the union of all logs, or the one named ``log_type``; every row
+    says which log it is from.  An unknown name is an error."""
+    if log_type is not None and log_type not in logs:
+        raise ValueError(f"unknown log {log_type!r}, there are {sorted(logs)}")
+    names = sorted(logs) if log_type is None else [log_type]
+    return union_ragged([logs[n].withColumn("log_type", F.lit(n)) for n in names], **casts)

@@ -52,6 +52,15 @@ def block_grid(left: DataFrame, right: DataFrame, left_id: str, right_id: str, f
     return L.groupBy("_lb", "_rb").cogroup(R.groupBy("_lb", "_rb")).applyInPandas(fn, schema=schema)
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of a to all rows of b by |a|^2 + |b|^2 - 2ab: the
+    only temporaries have one entry per pair, whatever the dimension.  Both are shifted
+    to the mean of b first, which keeps the cancellation small."""
+    mean = b.mean(axis=0)
+    a, b = a - mean, b - mean
+    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0))
+
+
 def _matrix(series: pd.Series) -> np.ndarray:
     if len(series) == 0:
         return np.zeros((0, 0))
@@ -67,8 +76,9 @@ def nearest(queries: DataFrame, kb: DataFrame, *, qid: str = "qid", kid: str = "
     """For every query vector the KB entry of highest cosine (dot / (|a||b| + 1e-8));
     ties go to the lowest KB id (T13: first of equal scores).  ``exclude_self`` skips
     the KB row with the same id (nearest *other* vector of one table).  Queries with
-    no KB row get (null, -1.0).  Returns (qid, best_id, score)."""
-    q = queries.select(F.col(qid).alias("_q"), F.col(vec).alias("_qv")).filter(F.col("_qv").isNotNull())
+    no KB row or without a vector get (null, -1.0).  Returns (qid, best_id, score)."""
+    asked = queries.select(F.col(qid).alias("_q"), F.col(vec).alias("_qv"))
+    q = asked.filter(F.col("_qv").isNotNull())
     k = kb.select(F.col(kid).alias("_k"), F.col(vec).alias("_kv")).filter(F.col("_kv").isNotNull())
 
     def cell(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
@@ -95,7 +105,7 @@ def nearest(queries: DataFrame, kb: DataFrame, *, qid: str = "qid", kid: str = "
     parts = block_grid(q, k, "_q", "_k", cell, "_q long, best_id long, score double", block_rows=block_rows)
     best = parts.groupBy("_q").agg(F.min_by(F.struct("best_id", "score"),
                                             F.struct((-F.col("score")).alias("s"), F.col("best_id"))).alias("m"))
-    out = q.select("_q").join(best, "_q", "left")
+    out = asked.select("_q").join(best, "_q", "left")
     return out.select(F.col("_q").alias(qid), F.col("m.best_id").alias("best_id"),
                       F.coalesce(F.col("m.score"), F.lit(NO_MATCH_SCORE)).alias("score"))
 
@@ -145,7 +155,7 @@ def silhouette(df: DataFrame, id_col: str, label_col: str, vec: str, *,
         outs = []
         for s in range(0, len(A), _CHUNK):
             a = A[s:s + _CHUNK]
-            d = np.sqrt(((a[:, None, :] - B[None, :, :]) ** 2).sum(axis=2))
+            d = _distances(a, B)
             sums = d @ onehot
             n = len(a)
             outs.append(pd.DataFrame({
@@ -224,15 +234,14 @@ def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec: str, k: int,
                 ids = rg["_ri"].to_numpy()
                 li = lg["_i"].to_numpy()
                 for s in range(0, len(A), _CHUNK):
-                    d = np.sqrt(((A[s:s + _CHUNK, None, :] - B[None, :, :]) ** 2).sum(axis=2))
+                    d = _distances(A[s:s + _CHUNK], B)
                     d[li[s:s + _CHUNK, None] == ids[None, :]] = np.inf
                     kk = min(k, d.shape[1])
                     order = np.argsort(d, axis=1, kind="stable")[:, :kk]
-                    for r in range(d.shape[0]):
-                        for t in order[r]:
-                            if np.isfinite(d[r, t]):
-                                rows.append((li[s + r], ids[t], d[r, t]))
-        return pd.DataFrame(rows, columns=["_i", "nb_id", "dist"]).astype(
+                    found = pd.DataFrame({"_i": np.repeat(li[s:s + len(d)], kk), "nb_id": ids[order].ravel(),
+                                          "dist": np.take_along_axis(d, order, 1).ravel()})
+                    rows.append(found[np.isfinite(found["dist"])])
+        return pd.concat(rows) if rows else pd.DataFrame({"_i": [], "nb_id": [], "dist": []}).astype(
             {"_i": "int64", "nb_id": "int64", "dist": "float64"})
 
     right = pts.select(F.col("_i").alias("_ri"), F.col("_c").alias("_rc"), F.col("_v").alias("_rv"))
@@ -240,12 +249,3 @@ def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec: str, k: int,
     w = Window.partitionBy("_i").orderBy("dist", "nb_id")
     return (parts.withColumn("nb_rank", F.row_number().over(w)).filter(F.col("nb_rank") <= k)
             .select(F.col("_i").alias(id_col), "nb_rank", "nb_id", "dist"))
-
-
-def normalised(df: DataFrame, vec: str, out: str | None = None) -> DataFrame:
-    """F9 as a column replacement."""
-    return df.withColumn(out or vec, l2_normalise(vec))
-
-
-def cosine_col(a, b) -> Column:
-    return cosine(a, b)

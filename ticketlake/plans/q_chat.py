@@ -164,13 +164,13 @@ WITH ch AS (
          CASE WHEN l_linenumber = 2 THEN 'delete' ELSE 'update' END AS op,
          l_extendedprice AS o_totalprice
   FROM lineitem WHERE l_linenumber IN (1, 3) OR (l_linenumber = 2 AND l_returnflag = 'R')),
-last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY seq DESC) AS rn FROM ch)
-         WHERE rn = 1)
-SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus,
-       coalesce(CASE WHEN l.op = 'update' THEN l.o_totalprice END, o.o_totalprice) AS o_totalprice,
+upd AS (SELECT o_orderkey, max(o_totalprice) AS price FROM (
+          SELECT *, max(seq) OVER (PARTITION BY o_orderkey) AS top FROM ch WHERE op = 'update' AND o_totalprice IS NOT NULL)
+        WHERE seq = top GROUP BY 1)
+SELECT o.o_orderkey, o.o_custkey, o.o_orderstatus, coalesce(u.price, o.o_totalprice) AS o_totalprice,
        o.o_orderdate, o.o_orderpriority
-FROM orders o LEFT JOIN last l ON l.o_orderkey = o.o_orderkey
-WHERE l.op IS NULL OR l.op <> 'delete'""")
+FROM orders o LEFT JOIN upd u ON u.o_orderkey = o.o_orderkey
+WHERE o.o_orderkey NOT IN (SELECT o_orderkey FROM ch WHERE op = 'delete')""")
 def apply_changes(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     ch = li.filter(F.col("l_linenumber").isin(1, 3) | ((F.col("l_linenumber") == 2) & (F.col("l_returnflag") == "R")))
@@ -213,6 +213,29 @@ def ticket_resolution(spark, sf_dir):
     return out.select("o_orderkey", "c_name", "status")
 
 
+@query("session_topic_all", sql=f"""
+WITH q AS ({_QA}),
+f AS (SELECT session_id, arg_min(question, msg_pos) AS fq FROM q GROUP BY session_id)
+SELECT c.c_custkey AS session_id, CASE WHEN f.session_id IS NULL THEN 'No topic' ELSE
+  array_to_string(list_filter(string_split_regex(lower(coalesce(fq, '')), '[ \\t\\n\\x0B\\f\\r]+'),
+                              lambda x: x <> '')[1:3], ', ') END AS topic
+FROM customer c LEFT JOIN f ON f.session_id = c.c_custkey""")
+def session_topic_all(spark, sf_dir):
+    """A10 over a session table (customers' own sessions): those without a message have
+    'No topic'."""
+    m = qa_messages(spark, sf_dir).withColumn("intent_tag", F.lit(None).cast("string"))
+    sessions = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("session_id"))
+    return chat.session_topic(m, sessions=sessions)
+
+
+@query("delete_rows", sql="""
+SELECT o_orderkey, o_orderstatus FROM orders WHERE NOT coalesce(o_orderstatus = 'F', false)""")
+def delete_rows(spark, sf_dir):
+    """M5: the rows that a delete by filter leaves."""
+    o = table(spark, sf_dir, "orders")
+    return chat.delete_where(o, F.col("o_orderstatus") == "F")[0].select("o_orderkey", "o_orderstatus")
+
+
 @query("delete_counts", sql="""
 SELECT count(*) FILTER (WHERE NOT coalesce(o_orderstatus = 'F', false))::BIGINT AS n_kept,
        count(*) FILTER (WHERE coalesce(o_orderstatus = 'F', false))::BIGINT AS n_deleted

@@ -49,28 +49,71 @@ def faq_json_import(spark, sf_dir):
                                                  F.concat(F.lit("answer "), F.col("item_id").cast("string")).alias("answer"))
     b.write.mode("overwrite").json(src)
     imp = files.read_json_records(spark, src, b.schema, multi_line=False)
-    assert prep.detect_format(imp, "faq")
+    if not prep.detect_format(imp, "faq"):
+        raise ValueError(f"not an FAQ import: {imp.columns}")
     good, _rejects = prep.required_pair(imp, "question", "answer")
     files.append_table(files.with_provenance(good, "benchmark-import"), faq_dir)
     return spark.read.parquet(faq_dir).select("item_id", "question", "import_source")
 
 
 @query("service_log_roundtrip", sql="""
-SELECT CAST(user_id AS VARCHAR) AS user_id, event_type AS intent_tag, 'neutral' AS sentiment, 'low' AS priority,
-       event_type = 'signup' AS is_fallback, round(value, 3) AS response_time
+SELECT date_trunc('millisecond', ts) AS timestamp, 'INFO' AS level, CAST(user_id AS VARCHAR) AS user_id,
+       event_type AS intent_tag, 'low' AS priority, 'neutral' AS sentiment, event_type = 'purchase' AS thumbs_up,
+       event_type = 'error' AS thumbs_down, event_type = 'signup' AS is_fallback, round(value, 3) AS response_time
 FROM events""")
 def service_log_roundtrip(spark, sf_dir):
-    """The interaction log written as the service's text log lines and parsed back
-    to the interactions schema."""
+    """The interaction log written as the service logs it (prefix, all fields, then
+    question, answer and version lines) and parsed back.  The questions look like log
+    fields, which must not mislead the reader."""
     path = _folder(spark, "service_log")
-    i = interactions(spark, sf_dir)
-    line = F.format_string("user_id=%s | intent=%s | sentiment=%s | priority=%s | fallback=%s | response_time=%.3fs",
-                           F.col("user_id").cast("string"), "intent_tag", F.lit("neutral"), F.lit("low"),
-                           F.when(F.col("is_fallback"), "True").otherwise("False"), "response_time")
-    i.select(line.alias("value")).write.mode("overwrite").text(path)
+    i = interactions(spark, sf_dir).withColumns({
+        "priority": F.lit("low"), "sentiment": F.lit("neutral"),
+        "question": F.lit("why | intent=wrong | response_time=1.000s"), "answer": F.lit("user_id=0 | intent=wrong")})
+    files.write_service_log(i, path, "v1")
     return files.read_service_log(spark, path)
 
 
+@query("default_message_import", sql="""
+SELECT role AS type, text AS message, 'turns' AS import_source FROM conversations""")
+def default_message_import(spark, sf_dir):
+    """S6 -> S7: turns written as JSON and imported as default messages."""
+    src = _folder(spark, "messages_json")
+    table(spark, sf_dir, "conversations").select("conv_id", F.col("role").alias("type"), F.col("text").alias("message")).write.json(src)
+    imported = prep.import_records(files.read_json_records(spark, src, multi_line=False), "default_messages", "turns")
+    return imported.drop("import_timestamp")
+
+
+@query("knowledge_import", sql="""
+SELECT url AS title, html AS content, 'pages' AS import_source FROM pages""")
+def knowledge_import(spark, sf_dir):
+    """S6 -> S7: pages written as JSON and imported as knowledge articles."""
+    src = _folder(spark, "knowledge_json")
+    table(spark, sf_dir, "pages").select(F.col("url").alias("title"), F.col("html").alias("content")).write.json(src)
+    imported = prep.import_records(files.read_json_records(spark, src, multi_line=False), "knowledge", "pages")
+    return imported.drop("import_timestamp")
+
+
+@query("summary_json", sql="""
+SELECT event_type, count(*)::BIGINT AS n, avg(value) AS mean_value FROM events GROUP BY 1""")
+def summary_json(spark, sf_dir):
+    """A summary per event type saved as JSON lines and read back."""
+    path = _folder(spark, "summary_json")
+    e = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value"))
+    files.save_json(e, path)
+    return files.read_json_records(spark, path, e.schema, multi_line=False)
+
+
+@query("event_tables", sql="""
+SELECT event_type AS kind, CAST(ts AS DATE) AS day, count(*)::BIGINT AS n, sum(value) AS total FROM events
+GROUP BY 1, 2""")
+def event_tables(spark, sf_dir):
+    """Events appended to one table, a partition per kind and day, read back."""
+    path = _folder(spark, "event_tables")
+    e = table(spark, sf_dir, "events").select("*", F.col("event_type").alias("kind"), F.to_date("ts").alias("day"))
+    files.append_table(e, path, partition_by=["kind", "day"])
+    return spark.read.parquet(path).groupBy("kind", "day").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+
+
 @query("execution_log", sql="""
 SELECT item_id AS user_id, 'gpt-3' AS model, text AS response, length(text)::DOUBLE AS score,
        item_id / 10.0 AS execution_time, 'simulation' AS execution_type FROM benchmark

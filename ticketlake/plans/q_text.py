@@ -149,11 +149,11 @@ def metric_mean_std(spark, sf_dir):
 
 
 @query("metrics_wide", sql=f"""
-PIVOT (SELECT model, metric, avg(value) AS mean FROM ({_METRICS_SQL}) m GROUP BY model, metric)
-ON metric USING first(mean) GROUP BY model""")
+SELECT model, avg(value) FILTER (WHERE metric = 'mean_value') AS mean_value,
+       avg(value) FILTER (WHERE metric = 'max_value') AS max_value FROM ({_METRICS_SQL}) m GROUP BY model""")
 def metrics_wide(spark, sf_dir):
     """The mean / std table pivoted to one row per model."""
-    return ev.metrics_wide(ev.metric_mean_std(_metrics(spark, sf_dir)))
+    return ev.metrics_wide(ev.metric_mean_std(_metrics(spark, sf_dir)), ["mean_value", "max_value"])
 
 
 @query("stratified_split", sql="""

@@ -7,6 +7,7 @@ is unset, so a cluster's own settings (shuffle partitions, checkpoint dir) win.
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import SparkSession
 
@@ -45,13 +46,17 @@ def get_session(master: str | None = None, app: str = "ticketlake", conf: dict |
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir`` (set by the cluster).  Only when it is unset
-    (local tests) a folder under the driver's temp dir is chosen and registered.
+    Read from ``spark.checkpoint.dir`` (set by the cluster).  Only a local session may
+    leave it unset: it gets a folder of this machine; on a cluster that is an error, as
+    executors and driver would not see each other's files.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^]]*\])?", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a shared folder on {master}")
         base = os.environ.get("TICKETLAKE_LOCAL_CHECKPOINT", "/tmp/ticketlake-checkpoints")
         d = os.path.join(base, spark.sparkContext.applicationId)
     if not spark.sparkContext.getCheckpointDir():

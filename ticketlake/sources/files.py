@@ -13,12 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ticketlake.functions.scalar import strip
+
 # ---- fixed values (must equal the reference's for right results) --------------------
 # Label replacement applied when loading a ticket CSV (experiments' loader).
 LOAD_LABEL_REPLACE = {"Critical": "High"}
-# Service text-log line: "user_id=<u> | intent=<tag> | sentiment=<s> | priority=<p> |
-# fallback=<bool> | response_time=<float>s" (fields separated by " | ").
-LOG_FIELDS = ["user_id", "intent", "sentiment", "priority", "fallback", "response_time"]
 # ---------------------------------------------------------------------------------------
 
 
@@ -68,9 +67,9 @@ def labelled_dataset(df: DataFrame, label_col: str, names: Sequence[str] | None)
 def question_lines(spark: SparkSession, path: str, strip_commas: bool = True) -> DataFrame:
     """One question per line, trimmed, blanks dropped.  With ``strip_commas`` a
     trailing comma is removed and lines left empty are dropped too (T24)."""
-    t = F.trim(F.col("value"))
+    t = strip("value")
     if strip_commas:
-        t = F.trim(F.regexp_replace(t, r",+$", ""))
+        t = strip(F.regexp_replace(t, r",+$", ""))
     return (spark.read.text(path).select(t.alias("question"), F.monotonically_increasing_id().alias("line_id"))
             .filter(F.col("question") != ""))
 
@@ -112,8 +111,8 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 def save_json(df: DataFrame, path: str) -> None:
-    """A (small, already aggregated) summary table as JSON lines."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """A summary table as JSON lines, as many files as it has partitions."""
+    df.write.mode("overwrite").json(path)
 
 
 def execution_log_rows(df: DataFrame) -> DataFrame:
@@ -130,22 +129,55 @@ def execution_log_rows(df: DataFrame) -> DataFrame:
     return df.select(*base, s)
 
 
+# ---- fixed values (must equal the reference's for right results) --------------------
+# An interaction's line in the service log: time, level, then these fields in order.  The
+# question, answer and model version follow on lines of their own.
+LOG_PREFIX = r"^(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}),(\d{3}) - ([A-Z]+) - "
+LOG_FIELDS = ["user_id", "intent", "priority", "sentiment", "thumbs_up", "thumbs_down", "fallback", "response_time"]
+# ---------------------------------------------------------------------------------------
+
+
 def read_service_log(spark: SparkSession, path: str) -> DataFrame:
-    """The service's text log back to the interactions schema."""
+    """The interaction lines of the service's text log: time, level and all fields.
+
+    Only lines with the log's prefix and every field in order count; the Q:, A: and
+    model_version lines that follow one, whatever their text, are not lines of their own.
+    A python None reads as null."""
+    pattern = LOG_PREFIX + r" \| ".join(f"{name}=(.*?)" for name in LOG_FIELDS[:-1]) + rf" \| {LOG_FIELDS[-1]}=([0-9.]+)s$"
     line = F.col("value")
+    groups = ["_time", "_ms", "level", *LOG_FIELDS]
+    rows = spark.read.text(path).filter(line.rlike(pattern)).select(
+        *[F.regexp_extract(line, pattern, i + 1).alias(g) for i, g in enumerate(groups)])
 
-    def field(name: str) -> Column:
-        return F.regexp_extract(line, rf"(?:^|\|)\s*{name}=([^|]*?)\s*(?:\||$)", 1)
-
-    rt = F.regexp_replace(field("response_time"), r"s$", "")
-    return spark.read.text(path).select(
-        field("user_id").alias("user_id"),
-        field("intent").alias("intent_tag"),
-        field("sentiment").alias("sentiment"),
-        field("priority").alias("priority"),
-        (F.lower(field("fallback")) == "true").alias("is_fallback"),
-        rt.try_cast("double").alias("response_time"),
-    )
+    def text(name: str) -> Column:
+        return F.when(F.col(name) != "None", F.col(name))
+
+    def flag(name: str) -> Column:
+        return F.when(F.col(name) != "None", F.col(name) == "True")
+
+    return rows.select(
+        F.to_timestamp_ntz(F.concat("_time", F.lit("."), "_ms"), F.lit("yyyy-MM-dd HH:mm:ss.SSS")).alias("timestamp"), "level",
+        text("user_id").alias("user_id"), text("intent").alias("intent_tag"), text("priority").alias("priority"),
+        text("sentiment").alias("sentiment"), flag("thumbs_up").alias("thumbs_up"), flag("thumbs_down").alias("thumbs_down"),
+        flag("fallback").alias("is_fallback"), F.col("response_time").try_cast("double").alias("response_time"))
+
+
+def write_service_log(interactions: DataFrame, path: str, model_version: str) -> None:
+    """S16, the other way: each interaction as the service logs it, four lines."""
+    def shown(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit("None"))
+
+    def flag(name: str) -> Column:
+        return F.when(F.col(name), "True").when(~F.col(name), "False").otherwise("None")
+
+    fields = F.format_string(
+        " | ".join(f"{name}=%s" for name in LOG_FIELDS[:-1]) + f" | {LOG_FIELDS[-1]}=%.3fs",
+        shown("user_id"), shown("intent_tag"), shown("priority"), shown("sentiment"), flag("thumbs_up"), flag("thumbs_down"),
+        flag("is_fallback"), F.col("response_time").cast("double"))
+    interactions.select(F.concat(
+        F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss,SSS"), F.lit(" - INFO - "), fields,
+        F.lit("\nQ: "), shown("question"), F.lit("\nA: "), shown("answer"), F.lit(f"\nmodel_version={model_version}")).alias("value")
+    ).write.mode("overwrite").text(path)
 
 
 def line_count(text: Column) -> Column:
@@ -158,7 +190,7 @@ def file_inventory(spark: SparkSession, root: str, ignore_dirs: Sequence[str] =
     """Path, size in KB and line count of every file under ``root``, skipping
     ignored directories.  ``binaryFile`` lists and reads files on the executors."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    for d in ignore_dirs:
+    for d in ignore_dirs:  # a predicate on the path alone: skipped files are never opened
         df = df.filter(~F.col("path").contains(f"/{d}/"))
     text = F.decode(F.col("content"), "UTF-8")
     return df.select(
