@@ -40,8 +40,8 @@ def test_json_object_or_array(spark):
 def test_service_log_parse(spark):
     d = _tmp()
     with open(os.path.join(d, "log.txt"), "w") as f:
-        f.write("user_id=u1 | intent=greet | sentiment=positive | priority=low | fallback=False | "
-                "response_time=0.250s\n")
+        f.write("2024-05-01 10:11:12,345 - INFO - user_id=u1 | intent=greet | priority=low | sentiment=positive | "
+                "thumbs_up=True | thumbs_down=None | fallback=False | response_time=0.250s\nQ: hi\nA: hello\nmodel_version=v1\n")
     r = files.read_service_log(spark, d).first()
     assert (r.user_id, r.intent_tag, r.is_fallback, r.response_time) == ("u1", "greet", False, 0.25)
 

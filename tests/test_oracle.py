@@ -25,4 +25,4 @@ def test_oracle(spark, sf_dir, con, name):
 def test_rows_only(spark, sf_dir, name):
     df = Q[name](spark, sf_dir)
     assert len(df.columns) == len(set(df.columns))
-    assert df.count() >= 0
+    assert df.count() > 0 or name == "fuzzy_match"  # no passage is near a whole document at sf0.01
