@@ -10,6 +10,7 @@ import os
 import re
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 # Settings every job of the library relies on.  AQE re-plans joins at run time
 # (broadcast conversion from *measured* sizes, skew-join splitting, partition
@@ -64,6 +65,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+BROADCAST_ROWS = 100_000
+
+
+def measured(df, max_rows: int = BROADCAST_ROWS):
+    """Write a result of short rows and, only if it has at most ``max_rows`` of them, hint
+    that it be broadcast; beyond that the join shuffles as usual."""
+    out = materialize(df)
+    return F.broadcast(out) if out.count() <= max_rows else out
+
+
 def materialize(df):
     """Cut the lineage of an intermediate result that later steps read more than once.
 
