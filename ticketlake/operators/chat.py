@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlake.functions.scalar import pending_status
+from ticketlake.session import materialize
 
 # ---- fixed values (must equal the reference's for right results) --------------------
 SENDER_USER, SENDER_BOT, SENDER_UNKNOWN = "User", "Bot", "Unknown"
@@ -23,6 +24,7 @@ NO_TOPIC = "No topic"
 TOPIC_WORDS = 3
 TOPIC_JOIN = ", "
 USER_NOT_FOUND, INVALID_TICKET, RESOLVED = "user not found", "invalid ticket", "ok"
+NO_SESSION, NO_MESSAGE = "session not found", "message not found"
 # ---------------------------------------------------------------------------------------
 
 
@@ -133,6 +135,22 @@ def numbered_newest_first(df: DataFrame, key: str, ts_col: str, tie_col: str, na
     return df.withColumn(name, F.row_number().over(w))
 
 
+def numbered_with_progress(df: DataFrame, order_cols: Sequence[str]) -> DataFrame:
+    """The rows numbered from 1 over the whole table (``idx``) in the order of the given
+    unique columns, with the percentage done after each (``progress``, cut to an integer).
+
+    The table is sorted by ranges; a row's number is its place in its range plus the sizes
+    of the ranges before it, so no task ever holds more than one range."""
+    ranges = materialize(df.orderBy(*order_cols).withColumn("_range", F.spark_partition_id()))
+    sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"),
+                          F.sum("_n").over(Window.partitionBy()).alias("_all"))  # one row per range
+    idx = F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(*order_cols))
+    return (ranges.join(before, "_range").withColumn("idx", idx)
+            .withColumn("progress", F.floor(F.col("idx") / F.col("_all") * 100).cast("int"))
+            .drop("_range", "_before", "_all"))
+
+
 def upsert_users(users: DataFrame, activity: DataFrame, key: str = "email", ts_col: str = "ts") -> DataFrame:
     """Insert unseen users, touch last_active of known ones.  The activity is first
     reduced to one row per user, then one full outer join on the key."""
@@ -192,17 +210,29 @@ def apply_message_updates(messages: DataFrame, updates: DataFrame, value_cols: S
     ])
 
 
-def update_nested_messages(sessions: DataFrame, session_id, index: int, field: str, value) -> DataFrame:
-    """M2 on the nested session form: set ``field`` of message ``index`` of one session
-    (``transform`` with the element index; an out-of-range index changes nothing and
-    is reported by ``index_in_range``)."""
-    sid = F.lit(session_id)
-    val = value if isinstance(value, Column) else F.lit(value)
-    upd = F.transform("messages", lambda m, i: F.when(i == index, m.withField(field, val)).otherwise(m))
-    return sessions.withColumns({
-        "messages": F.when(F.col("session_id") == sid, upd).otherwise(F.col("messages")),
-        "index_in_range": F.when(F.col("session_id") == sid, F.size("messages") > index),
-    })
+def update_nested_messages(sessions: DataFrame, updates: DataFrame, field: str) -> tuple[DataFrame, DataFrame]:
+    """M2 on the nested session form (session_id, messages: array of structs): ``updates``
+    (session_id, index, value) set ``field`` of message ``index``, counted from 0.
+
+    Returns the sessions, all of them, and the updates that hit nothing (unknown session,
+    index null or out of range) with a reason.  Of several updates of one message the
+    largest value counts.  A session's updates become one map, which is no larger than its
+    own array of messages."""
+    sizes = sessions.select(F.col("session_id").alias("_sid"), F.size("messages").alias("_n"))
+    j = updates.join(sizes, F.col("session_id") == F.col("_sid"), "left")
+    hits = F.coalesce((F.col("index") >= 0) & (F.col("index") < F.col("_n")), F.lit(False))
+    reason = F.when(F.col("_sid").isNull(), F.lit(NO_SESSION)).otherwise(F.lit(NO_MESSAGE))
+    rejects = j.filter(~hits).select("session_id", "index", "value", reason.alias("reject_reason"))
+    net = j.filter(hits).groupBy("session_id", F.col("index").cast("int").alias("_i")).agg(F.max("value").alias("_v"))
+    per_session = net.groupBy(F.col("session_id").alias("_sid")).agg(
+        F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_new"))
+
+    def changed(m: Column, i: Column) -> Column:
+        return F.when(F.map_contains_key("_new", i), m.withField(field, F.col("_new")[i])).otherwise(m)
+
+    out = sessions.join(per_session, F.col("session_id") == F.col("_sid"), "left")
+    messages = F.when(F.col("_new").isNull(), F.col("messages")).otherwise(F.transform("messages", changed))
+    return out.withColumn("messages", messages).drop("_sid", "_new"), rejects
 
 
 def delete_where(df: DataFrame, predicate: Column) -> tuple[DataFrame, Column]:

@@ -8,7 +8,9 @@ level only: each iteration is its own set of Spark jobs, no data passes the driv
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,10 +27,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ticketlake.functions.scalar import keyword_priority
+from ticketlake.functions.scalar import keyword_priority, strip
 from ticketlake.functions.text import TOKEN_PATTERN
 from ticketlake.operators import evaluation as ev
 from ticketlake.operators import vectors as vx
+from ticketlake.operators.prep import label_filter
 from ticketlake.operators.text import fit_tfidf
 from ticketlake.session import materialize
 
@@ -39,6 +42,8 @@ LR_C = 1.0
 RF_TREES = 100
 RF_DEPTH = 30  # Spark's own limit
 SMOTE_NEIGHBOURS = 5
+KMEANS_K = 3
+FULL_EVALUATION_K = 8
 EMPTY_TEXT_SENTIMENT = "neutral"
 FAILED_SENTIMENT, FAILED_PRIORITY = "unknown", "Low"
 # ---------------------------------------------------------------------------------------
@@ -227,7 +232,7 @@ def predict_priority(df: DataFrame, text_col: str, model: PipelineModel | None,
 def predict_sentiment(df: DataFrame, text_col: str, model: PipelineModel | None, *,
                       pred_col: str = "prediction_label") -> DataFrame:
     """empty text -> 'neutral'; model failure / no model -> 'unknown'."""
-    empty = F.trim(F.coalesce(F.col(text_col), F.lit(""))) == ""
+    empty = strip(F.coalesce(F.col(text_col), F.lit(""))) == ""
     e = df.filter(empty).withColumn("sentiment", F.lit(EMPTY_TEXT_SENTIMENT))
     rest = df.filter(~empty)
     if model is None:
@@ -271,50 +276,108 @@ def load_model(path: str) -> PipelineModel:
 # Evaluation pipelines (ML12-ML15)
 # ======================================================================================
 
-def evaluate_classification(df: DataFrame, id_col: str, label_col: str, features: str, *,
-                            test_size: float = TEST_SIZE, seed: int = SEED, C: float = LR_C,
-                            max_iter: int = 1000) -> DataFrame:
-    """ML12: split (stratified, exact) -> logistic regression -> A12 scores on the
-    test split; one row (accuracy, precision, recall, f1_score, macro_f1)."""
-    s = ev.stratified_split(df, id_col, label_col, test_size, seed)
-    train, test = s.filter("split = 'train'"), s.filter("split = 'test'")
-    pred = fit_predict(train, test, lambda n: logistic_regression(n, C=C, max_iter=max_iter),
-                       label_col=label_col, features=features)
-    return ev.summary_scores(pred.select("y_true", "y_pred"))
+Encoder = Callable[[DataFrame], DataFrame]
+
 
+def _encoded(df: DataFrame, encoder: Encoder | None, keep: Sequence[str], features: str) -> tuple[DataFrame, float]:
+    """``df`` with its ``features``, written once, and the seconds that took.  Without an
+    encoder the vectors are there already."""
+    if encoder is None:
+        return df, 0.0
+    begin = time.perf_counter()
+    out = materialize(encoder(df).select(*keep, features))
+    return out, time.perf_counter() - begin
 
-def evaluate_clustering(df: DataFrame, id_col: str, features_vec: str, array_col: str, k: int, *,
-                        seed: int = SEED, standardize_first: bool = False) -> DataFrame:
+
+def evaluate_classification(df: DataFrame, id_col: str, label_col: str, features: str = "features", *,
+                            encoder: Encoder | None = None, estimator: Callable[[int], object] | None = None,
+                            test_size: float = TEST_SIZE, seed: int = SEED, C: float = LR_C,
+                            max_iter: int = 1000) -> DataFrame:
+    """ML12: stratified exact split, blank and unknown labels dropped from both sides (P6),
+    both encoded by ``encoder`` (a frame to the same frame with ``features``), a classifier
+    fitted and the test side scored (A12).
+
+    ``estimator`` maps the number of training rows to the classifier; logistic regression
+    otherwise.  One row: accuracy, precision, recall, f1_score, macro_f1 and the seconds
+    that encoding either side took."""
+    labelled = label_filter(df.withColumn(label_col, strip(F.col(label_col).cast("string"))), label_col)
+    s = ev.stratified_split(labelled, id_col, label_col, test_size, seed)
+    train, train_sec = _encoded(s.filter("split = 'train'"), encoder, [id_col, label_col], features)
+    test, test_sec = _encoded(s.filter("split = 'test'"), encoder, [id_col, label_col], features)
+    factory = estimator or (lambda n: logistic_regression(n, C=C, max_iter=max_iter, features=features))
+    pred = fit_predict(train, test, factory, label_col=label_col, features=features)
+    return ev.summary_scores(pred.select("y_true", "y_pred")).withColumns({
+        "embedding_train_time_sec": F.lit(train_sec), "embedding_test_time_sec": F.lit(test_sec)})
+
+
+def evaluate_clustering(df: DataFrame, id_col: str, features_vec: str, array_col: str | None, k: int, *,
+                        encoder: Encoder | None = None, seed: int = SEED, standardize_first: bool = False) -> DataFrame:
     """ML13: K-Means -> exact silhouette + Davies-Bouldin of the vectors that were
-    clustered (the scaled ones with ``standardize_first``); one row."""
+    clustered (the scaled ones with ``standardize_first``); one row, with the seconds that
+    encoding took.  Without ``array_col`` the arrays are taken from the vectors."""
+    df, seconds = _encoded(df, encoder, [id_col], features_vec)
     x = standardize(df, features=features_vec, out="_km_in") if standardize_first else \
         df.withColumn("_km_in", F.col(features_vec))
-    c = to_array(kmeans(x, k, features="_km_in", seed=seed), "_km_in", "_km_vec") if standardize_first else \
-        kmeans(x, k, features="_km_in", seed=seed).withColumn("_km_vec", F.col(array_col))
-    c = materialize(c.select(id_col, "cluster", "_km_vec"))  # both scores read it
+    clustered = kmeans(x, k, features="_km_in", seed=seed)
+    own = F.col(array_col) if array_col and not standardize_first else vector_to_array(F.col("_km_in"))
+    c = materialize(clustered.select(id_col, "cluster", own.alias("_km_vec")))  # both scores read it
     sil = vx.silhouette(c, id_col, "cluster", "_km_vec")
     db = vx.davies_bouldin(c, id_col, "cluster", "_km_vec")
-    return sil.join(db.drop("n_clusters"), how="inner")
+    return sil.join(db.drop("n_clusters"), how="inner").withColumn("embedding_time_sec", F.lit(seconds))
 
 
-def full_evaluation(df: DataFrame, id_col: str, label_col: str, encoders: dict[str, Callable[[DataFrame], DataFrame]],
-                    repeats: int = 2, seeds: Sequence[int] | None = None) -> DataFrame:
-    """ML14: every encoder x repeat -> classification scores as a long metric table ->
-    mean and population std per (model, task, metric).  ``encoders`` map a frame to the
-    same frame with a ``features`` vector column."""
-    parts = []
+CLASSIFICATION_METRICS = ["accuracy", "precision", "recall", "f1_score", "embedding_train_time_sec", "embedding_test_time_sec"]
+CLUSTERING_METRICS = ["silhouette", "embedding_time_sec"]
+
+
+def full_evaluation(df: DataFrame, id_col: str, label_col: str, encoders: dict[str, Encoder],
+                    repeats: int = 2, seeds: Sequence[int] | None = None, k: int = FULL_EVALUATION_K,
+                    estimator: Callable[[int], object] | None = None) -> DataFrame:
+    """ML14: every encoder x repeat -> classification and clustering scores with their
+    encoding times as one long metric table -> mean and population std per (model, task,
+    metric).  ``encoders`` map a frame to the same frame with a ``features`` vector."""
     seeds = list(seeds or [SEED + r for r in range(repeats)])
-    for name, enc in encoders.items():
-        x = enc(df)
+
+    def rows(scores: DataFrame, model: str, run: int, task: str, metrics: Sequence[str]) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
+        return materialize(scores.select(F.lit(model).alias("model"), F.lit(run).alias("run"), F.lit(task).alias("task"), F.inline(each)))
+
+    parts = []
+    for name, encode in encoders.items():
         for r, sd in enumerate(seeds):
-            sc = evaluate_classification(x, id_col, label_col, "features", seed=sd)
-            parts.append(sc.select(F.lit(name).alias("model"), F.lit(r).alias("run"), F.lit("classification").alias("task"),
-                                   F.inline(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value"))
-                                                      for m in ("accuracy", "precision", "recall", "f1_score")]))))
-    long = parts[0]
-    for p in parts[1:]:
-        long = long.unionByName(p)
-    return ev.metric_mean_std(long)
+            cls = evaluate_classification(df, id_col, label_col, encoder=encode, estimator=estimator, seed=sd)
+            parts.append(rows(cls, name, r, "classification", CLASSIFICATION_METRICS))
+            clu = evaluate_clustering(df, id_col, "features", None, k, encoder=encode, seed=sd)
+            parts.append(rows(clu, name, r, "clustering", CLUSTERING_METRICS))
+    return ev.metric_mean_std(reduce(DataFrame.unionByName, parts))
+
+
+def train_and_save(df: DataFrame, id_col: str, folder: str, *, labels: Sequence[str] = ("priority", "sentiment"),
+                   k: int = KMEANS_K, seed: int = SEED) -> tuple[dict[str, str], dict[str, DataFrame]]:
+    """ML16: a text model for each of ``labels`` that the table has, and K-Means on the
+    TF-IDF vectors of all its texts; each is saved under ``folder``.
+
+    The models are trained on a plain 80 / 20 split (no strata, all terms, no weights).
+    Returns the paths by model name, and for each label its rows with their split."""
+    if "text" not in df.columns and "description" not in df.columns:
+        raise ValueError(f"no text or description among {df.columns}")
+    if "text" not in df.columns:
+        df = df.withColumnRenamed("description", "text")
+    df = materialize(df)
+    paths, splits = {}, {}
+    for label in labels:
+        if label in df.columns:
+            known = df.filter(F.col("text").isNotNull() & F.col(label).isNotNull())
+            splits[label] = materialize(ev.stratified_split(known, id_col, label, TEST_SIZE, seed, stratify=False))
+            model = train_text_classifier(splits[label].filter("split = 'train'"), label, kind="lr")
+            paths[label] = f"{folder}/{label}"
+            save_model(model, paths[label])
+    texts = df.filter(F.col("text").isNotNull())
+    feats = fit_tfidf(texts, "text", "features")
+    clusters = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(feats.transform(texts))
+    paths["kmeans"] = f"{folder}/kmeans"
+    save_model(PipelineModel(stages=[*feats.stages, clusters]), paths["kmeans"])
+    return paths, splits
 
 
 def train_and_test_accuracy(model: PipelineModel, train: DataFrame, test: DataFrame, label_col: str) -> DataFrame:

@@ -198,6 +198,14 @@ def is_numeric_or_bool(df: DataFrame, col: str) -> bool:
     return isinstance(t, (T.NumericType, T.BooleanType))
 
 
+def numeric_means(df: DataFrame, group: str) -> DataFrame:
+    """The mean of every numeric or boolean column per group; the other columns cannot
+    be averaged and are left out."""
+    means = [F.avg(F.col(c).cast("double")).alias(f"mean_{c}") for c in df.columns
+             if c != group and is_numeric_or_bool(df, c)]
+    return df.groupBy(group).agg(*means)
+
+
 def union_ragged(parts: Sequence[DataFrame], numeric_cols: Sequence[str] = (),
                  time_cols: Sequence[str] = (), id_cols: Sequence[str] = ()) -> DataFrame:
     """U1 + P13-P15: union by name, columns missing on one side become null; ids as

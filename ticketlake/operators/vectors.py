@@ -20,13 +20,17 @@ import math
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlake.functions.scalar import COSINE_EPS, cosine, l2_normalise  # noqa: F401  (re-export)
 from ticketlake.operators.retrieval import NO_MATCH_ANSWER, NO_MATCH_SCORE  # noqa: F401
+from ticketlake.session import materialize
 
 DEFAULT_BLOCK_ROWS = 2048
+_CELLS_PER_TASK = 32
 _CHUNK = 256  # rows of the left cell handled per numpy step (bounds the temporary arrays)
 
 
@@ -46,7 +50,9 @@ def block_grid(left: DataFrame, right: DataFrame, left_id: str, right_id: str, f
     R = right.select("*", rb.alias("_rb"), F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).alias("_lb"))
     # Cells are CPU-bound numpy work: an explicit partition count (not coalesced by
     # AQE) keeps them spread over all cores / executors, co-partitioned on both sides.
-    p = max(1, min(nl * nr, 2 * left.sparkSession.sparkContext.defaultParallelism))
+    # It grows with the cells: one task works through about _CELLS_PER_TASK of them.
+    cells = nl * nr
+    p = max(min(cells, 2 * left.sparkSession.sparkContext.defaultParallelism), math.ceil(cells / _CELLS_PER_TASK))
     L = L.repartition(p, "_lb", "_rb")
     R = R.repartition(p, "_lb", "_rb")
     return L.groupBy("_lb", "_rb").cogroup(R.groupBy("_lb", "_rb")).applyInPandas(fn, schema=schema)
@@ -121,11 +127,29 @@ def long_form(df: DataFrame, id_cols: list[str], vec: str, value: str = "x") ->
     return df.select(*id_cols, F.posexplode(vec).alias("pos", value)).withColumn(value, F.col(value).cast("double"))
 
 
-def mean_vector(df: DataFrame, group: str, vec: str) -> DataFrame:
-    """Mean vector per group in long form (group, pos, mean) — a keyed aggregate
-    over (group, pos), partial-aggregated per task."""
-    lf = long_form(df.filter(F.col(vec).isNotNull()), [group], vec)
-    return lf.groupBy(group, "pos").agg(F.avg("x").alias("mean"))
+def centroids(df: DataFrame, group: str, vec: str, out: str, mask: str | None = None) -> DataFrame:
+    """(group, ``out``): the mean vector of each group as an array.  ``Summarizer`` keeps one
+    running vector per group and task, so a row is never blown up to one row per dimension.
+
+    With ``mask`` (a weight, null as 0) the mean is the weighted one; a group whose weights
+    are all 0 has the zero vector."""
+    rows = df.filter(F.col(vec).isNotNull())
+    if mask is None:
+        mean = Summarizer.mean(array_to_vector(F.col(vec)))
+        return rows.groupBy(group).agg(mean.alias("_m")).select(group, vector_to_array("_m").alias(out))
+    w = F.coalesce(F.col(mask).cast("double"), F.lit(0.0))
+    mean = Summarizer.mean(array_to_vector(F.col(vec)), w)
+    some = rows.filter(w > 0).groupBy(group).agg(mean.alias("_m")).select(
+        F.col(group).alias("_g"), vector_to_array("_m").alias("_a"))
+    every = rows.groupBy(group).agg(F.max(F.size(vec)).alias("_d"))
+    return every.join(some, F.col(group).eqNullSafe(F.col("_g")), "left").select(
+        group, F.coalesce("_a", F.expr("array_repeat(0.0D, _d)")).alias(out))
+
+
+def mean_vector(df: DataFrame, group: str, vec: str, mask: str | None = None) -> DataFrame:
+    """Mean vector per group in long form (group, pos, mean), weighted by ``mask`` if
+    one is given (mean pooling of token vectors)."""
+    return centroids(df, group, vec, "_m", mask).select(group, F.posexplode("_m").alias("pos", "mean"))
 
 
 # ======================================================================================
@@ -189,17 +213,18 @@ def silhouette(df: DataFrame, id_col: str, label_col: str, vec: str, *,
 def davies_bouldin(df: DataFrame, id_col: str, label_col: str, vec: str) -> DataFrame:
     """Davies-Bouldin index, one row (davies_bouldin, n_clusters).
 
-    Centroids by a (label, pos) aggregate; each point's distance to its centroid by
-    an equi join on (label, pos); centroid distances by a self join of the k x d
-    centroid table on ``pos`` (k = number of clusters).  0 when all spreads or all
-    centroid distances are 0; NaN with fewer than 2 clusters."""
-    lf = long_form(df.filter(F.col(vec).isNotNull()), [id_col, label_col], vec)
-    cent = lf.groupBy(label_col, "pos").agg(F.avg("x").alias("_cx"))
-    d = (lf.join(cent, [label_col, "pos"])
-         .groupBy(id_col, label_col).agg(F.sqrt(F.sum((F.col("x") - F.col("_cx")) ** 2)).alias("_d")))
+    Centroids are k rows (k = number of clusters), written once; each point's distance to
+    its own is computed on the arrays of an equi join on the label; centroid distances by a
+    self join of the k x d values on ``pos``.  0 when all spreads or all centroid distances
+    are 0; NaN with fewer than 2 clusters."""
+    cent = materialize(centroids(df, label_col, vec, "_c"))
+    off = F.zip_with(F.col(vec), F.col("_c"), lambda x, y: (x.cast("double") - y) * (x.cast("double") - y))
+    d = df.filter(F.col(vec).isNotNull()).join(cent, label_col).select(
+        label_col, F.sqrt(F.aggregate(off, F.lit(0.0), lambda acc, x: acc + x)).alias("_d"))
     spread = d.groupBy(label_col).agg(F.avg("_d").alias("s"))
-    ci = cent.select(F.col(label_col).alias("i"), "pos", F.col("_cx").alias("ci"))
-    cj = cent.select(F.col(label_col).alias("j"), "pos", F.col("_cx").alias("cj"))
+    flat = cent.select(label_col, F.posexplode("_c").alias("pos", "_cx"))
+    ci = flat.select(F.col(label_col).alias("i"), "pos", F.col("_cx").alias("ci"))
+    cj = flat.select(F.col(label_col).alias("j"), "pos", F.col("_cx").alias("cj"))
     m = (ci.join(cj, "pos").filter(F.col("i") != F.col("j"))
          .groupBy("i", "j").agg(F.sqrt(F.sum((F.col("ci") - F.col("cj")) ** 2)).alias("m")))
     si = spread.select(F.col(label_col).alias("i"), F.col("s").alias("si"))

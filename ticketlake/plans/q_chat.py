@@ -258,3 +258,45 @@ def sessions_newest_first(spark, sf_dir):
                                               F.col("o_custkey").alias("user_id"),
                                               F.col("o_orderdate").alias("start_time"))
     return o.orderBy(F.col("start_time").desc_nulls_last(), F.col("session_id"))
+
+
+@query("run_progress", sql="""
+SELECT event_id, event_type, n AS idx, CAST(floor(n / total * 100) AS INTEGER) AS progress
+FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS n, count(*) OVER () AS total FROM events)""")
+def run_progress(spark, sf_dir):
+    """The events in time order, numbered from 1, with the percentage done."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "ts")
+    return chat.numbered_with_progress(e, ["ts", "event_id"]).drop("ts")
+
+
+def _line_sessions(spark, sf_dir):
+    """Documents as nested sessions, a message per line, and one update for each labelled
+    document: the line numbered by its two labels becomes 'edited'."""
+    lines = F.transform(F.split("text", "\n"), lambda x: F.struct(x.alias("content"), F.length(x).alias("size")))
+    sessions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("session_id"), lines.alias("messages"))
+    updates = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("session_id"), (F.col("quality") + 5 * F.col("toxic")).alias("index"), F.lit("edited").alias("value"))
+    return sessions, updates
+
+
+@query("nested_updates", sql="""
+SELECT d.doc_id AS session_id, len(string_split(text, chr(10)))::INTEGER AS n_messages,
+       array_to_string(list_transform(string_split(text, chr(10)),
+         lambda x, i: CASE WHEN i - 1 = l.quality + 5 * l.toxic THEN 'edited' ELSE x END), chr(10)) AS text
+FROM documents d LEFT JOIN labels l USING (doc_id)""")
+def nested_updates(spark, sf_dir):
+    """M2 nested: the sessions after the updates."""
+    out, _ = chat.update_nested_messages(*_line_sessions(spark, sf_dir), "content")
+    return out.select("session_id", F.size("messages").alias("n_messages"),
+                      F.array_join(F.col("messages.content"), "\n").alias("text"))
+
+
+@query("nested_update_rejects", sql="""
+SELECT l.doc_id AS session_id, quality + 5 * toxic AS index, 'edited' AS value,
+       CASE WHEN d.doc_id IS NULL THEN 'session not found' ELSE 'message not found' END AS reject_reason
+FROM labels l LEFT JOIN documents d USING (doc_id)
+WHERE d.doc_id IS NULL OR quality + 5 * toxic >= len(string_split(d.text, chr(10)))""")
+def nested_update_rejects(spark, sf_dir):
+    """M2 nested: the updates whose message does not exist."""
+    _, rejects = chat.update_nested_messages(*_line_sessions(spark, sf_dir), "content")
+    return rejects

@@ -209,3 +209,23 @@ def equality_filters(spark, sf_dir):
     t = test_results(spark, sf_dir)
     t = t.filter(F.col("model").isin("signup", "error") & F.col("correct"))
     return t.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("execution_time").alias("total_time"))
+
+
+@query("log_view", sql="""
+SELECT event_id, user_id, event_type, ts FROM events
+WHERE regexp_matches(CAST(user_id AS VARCHAR), '(?i)1') AND ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-02-01'
+ORDER BY ts DESC NULLS LAST, event_id LIMIT 400""")
+def log_view(spark, sf_dir):
+    """O2: the filtered log's newest 5,000 rows, and of those the 400 that are shown."""
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts")
+    found = kpi.log_filter(e, user_regex="1", day_from="2024-01-01", day_to="2024-01-31", ts_col="ts")
+    return kpi.most_recent(kpi.most_recent(found, "ts", "event_id", 5000), "ts", "event_id", 400)
+
+
+@query("model_results_newest_first", sql=f"""
+SELECT event_id, model, execution_time, timestamp FROM ({_TEST_RESULTS}) t WHERE model = 'click'
+ORDER BY timestamp DESC NULLS LAST, event_id""")
+def model_results_newest_first(spark, sf_dir):
+    """One model's test results, newest first (a range-partitioned global sort)."""
+    t = kpi.log_filter(test_results(spark, sf_dir), model="click").select("event_id", "model", "execution_time", "timestamp")
+    return t.orderBy(F.col("timestamp").desc_nulls_last(), "event_id")

@@ -3,13 +3,17 @@ specific (SURVEY §7.4): these have no SQL oracle; tests check floors and counts
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ticketlake.functions.scalar import l2_normalise
 from ticketlake.operators import evaluation as ev
-from ticketlake.operators import ml
+from ticketlake.operators import kpi, ml
 from ticketlake.plans.q_prep import ticket_prep
 from ticketlake.plans.registry import query
+from ticketlake.session import checkpoint_dir
 from ticketlake.sources.tables import table
 
 
@@ -91,31 +95,32 @@ def full_evaluation(spark, sf_dir):
 
 @query("train_models")
 def train_models(spark, sf_dir):
-    """ML15 / ML16: priority and sentiment models trained from the prepared tickets
-    (both labels present), train and test accuracy of each."""
-    t = ticket_prep(spark, sf_dir).select("ticket_id", F.col("description").alias("text"), "priority", "sentiment")
-    out = None
-    for label in ("priority", "sentiment"):
-        s = ev.stratified_split(t, "ticket_id", label)
-        train, test = s.filter("split = 'train'"), s.filter("split = 'test'")
-        model = ml.train_text_classifier(train, label, kind="lr")
-        r = ml.train_and_test_accuracy(model, train, test, label).select(F.lit(label).alias("model"), "*")
-        out = r if out is None else out.unionByName(r)
-    return out
-
-
-@query("model_roundtrip")
+    """ML15 / ML16: priority and sentiment models and K-Means trained from the prepared
+    tickets and saved; both classifiers are loaded again for train and test accuracy."""
+    folder = f"{checkpoint_dir(spark)}/models/{uuid.uuid4().hex[:12]}"
+    paths, splits = ml.train_and_save(ticket_prep(spark, sf_dir), "ticket_id", folder)
+    scores = [ml.train_and_test_accuracy(ml.load_model(paths[label]), s.filter("split = 'train'"), s.filter("split = 'test'"), label)
+              .select(F.lit(label).alias("model"), "*") for label, s in splits.items()]
+    return scores[0].unionByName(scores[1])
+
+
+@query("ticket_clusters", sql="""
+SELECT 3::BIGINT AS n_clusters, count(*)::BIGINT AS n_texts FROM documents WHERE text IS NOT NULL""")
+def ticket_clusters(spark, sf_dir):
+    """ML16: K-Means on the TF-IDF vectors of all texts, saved, loaded and applied."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    paths, _ = ml.train_and_save(d, "doc_id", f"{checkpoint_dir(spark)}/models/{uuid.uuid4().hex[:12]}")
+    c = ml.load_model(paths["kmeans"]).transform(d.filter(F.col("text").isNotNull()))
+    return c.agg(F.count_distinct("cluster").alias("n_clusters"), F.count(F.lit(1)).alias("n_texts"))
+
+
+@query("model_roundtrip", sql="SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS n_same FROM embeddings")
 def model_roundtrip(spark, sf_dir):
     """A fitted pipeline (label indexer + logistic regression + label decoder) is
     saved to the shared folder, loaded back, and must predict exactly as before."""
-    import os
-    import uuid
-
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IndexToString, StringIndexer
 
-    from ticketlake.session import checkpoint_dir
-
     e = _emb_vec(spark, sf_dir)
     idx = StringIndexer(inputCol="label", outputCol="label_idx", stringOrderType="alphabetAsc").fit(e)
     pipe = Pipeline(stages=[idx, ml.logistic_regression(e.count(), max_iter=100),
@@ -127,3 +132,66 @@ def model_roundtrip(spark, sf_dir):
     a = model.transform(e).select("vec_id", F.col("prediction_label").alias("p1"))
     b = again.transform(e).select("vec_id", F.col("prediction_label").alias("p2"))
     return a.join(b, "vec_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("p1") == F.col("p2")).alias("n_same"))
+
+
+@query("standardised", sql="""
+WITH l AS (SELECT vec_id, CAST(unnest(embedding) AS DOUBLE) AS x, generate_subscripts(embedding, 1) - 1 AS pos FROM embeddings),
+s AS (SELECT pos, avg(x) AS m, stddev_samp(x) AS sd FROM l GROUP BY pos)
+SELECT vec_id, pos, (x - m) / sd AS x FROM l JOIN s USING (pos)""")
+def standardised(spark, sf_dir):
+    """ML10: every component shifted and scaled to mean 0 and sample deviation 1."""
+    out = ml.to_array(ml.standardize(_emb_vec(spark, sf_dir)), "scaled", "_a")
+    return out.select("vec_id", F.posexplode("_a").alias("pos", "x"))
+
+
+def _letter_counts():
+    """An encoder that a test can recompute: counts of a few characters."""
+    import numpy as np
+
+    def encode(texts):
+        return np.array([[len(t), t.count(" "), t.count("e"), t.count("a")] for t in texts], dtype=float).reshape(len(texts), 4)
+
+    return encode
+
+
+@query("encoded_texts", sql="""
+SELECT conv_id, turn, [length(t)::DOUBLE, (length(t) - length(replace(t, ' ', '')))::DOUBLE,
+                       (length(t) - length(replace(t, 'e', '')))::DOUBLE, (length(t) - length(replace(t, 'a', '')))::DOUBLE] AS embedding
+FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)""")
+def encoded_texts(spark, sf_dir):
+    """ML11: texts encoded by a caller's function, built once per Python worker."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return ml.encode_in_pandas(c, "text", _letter_counts).select("conv_id", "turn", "embedding")
+
+
+@query("evaluate_text_encoder")
+def evaluate_text_encoder(spark, sf_dir):
+    """ML11 + ML12: the built-in hashing encoder, fitted on all texts, and a one-vs-rest
+    classifier of a document's language."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("lang").alias("label"))
+    encoder = ml.hashing_encoder().fit(d)
+    return ml.evaluate_classification(d, "doc_id", "label", encoder=encoder.transform, estimator=lambda n: ml.linear_ovr())
+
+
+@query("predicted_defaults", sql="""
+SELECT conv_id, turn, CASE WHEN text IS NULL OR trim(text) = '' THEN 'neutral' ELSE 'unknown' END AS sentiment,
+  CASE WHEN text IS NULL OR text = '' THEN 'low'
+       WHEN contains(lower(text), 'urgent') OR contains(lower(text), 'asap') OR contains(lower(text), 'critical') THEN 'high'
+       WHEN contains(lower(text), 'how to') OR contains(lower(text), 'can you explain') THEN 'low' ELSE 'Low' END AS priority
+FROM conversations""")
+def predicted_defaults(spark, sf_dir):
+    """what a turn is given when no model can be loaded."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return ml.predict_priority(ml.predict_sentiment(c, "text", None), "text", None).drop("text")
+
+
+@query("prediction_sample", sql="""
+SELECT doc_id AS id, lang AS y_true, CASE WHEN text IS NULL OR text = '' THEN 'low'
+  WHEN contains(lower(text), 'urgent') OR contains(lower(text), 'asap') OR contains(lower(text), 'critical') THEN 'high'
+  WHEN contains(lower(text), 'how to') OR contains(lower(text), 'can you explain') THEN 'low' ELSE 'Low' END AS y_pred
+FROM documents ORDER BY doc_id LIMIT 200""")
+def prediction_sample(spark, sf_dir):
+    """The first 200 rows with their label and prediction (J10 by key)."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    p = ml.predict_priority(d, "text", None)
+    return kpi.first_n(ev.join_truth(d, p, "id", "lang", "priority"), "id", 200)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ticketlake.functions import text as tx
-from ticketlake.functions.scalar import keyword_priority, rating_to_sentiment
+from ticketlake.functions.scalar import export_time, keyword_priority, normalise_name, rating_to_sentiment, session_id
 from ticketlake.operators import prep
 from ticketlake.plans.registry import query
 from ticketlake.sources.tables import qa_messages, table
@@ -208,3 +208,69 @@ def page_inventory(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", (F.octet_length("html") / 1024.0).alias("size_kb"),
                     line_count(F.col("html")).alias("n_lines"))
+
+
+@query("fill_text", sql="""
+SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus <> 'P' THEN o_orderpriority END, '') AS note FROM orders""")
+def fill_text(spark, sf_dir):
+    """A text column with nulls (orders in status P have no note) filled with ''."""
+    note = F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).alias("note")
+    return prep.fill_text(table(spark, sf_dir, "orders").select("o_orderkey", note), "note")
+
+
+_SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+
+
+@query("normalised_names", sql=f"""
+SELECT conv_id, turn, trim(regexp_replace(lower(text), '{_SPACE}', ' ', 'g'), ' ') AS name FROM conversations""")
+def normalised_names(spark, sf_dir):
+    """texts as names: stripped, lower case, runs of white space as one blank."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", normalise_name("text").alias("name"))
+
+
+@query("session_ids", sql="""
+SELECT event_id, strftime(ts, '%Y%m%d%H%M%S') || '-' || substr(sha256(CAST(event_id AS VARCHAR)), 1, 8) AS session_id
+FROM events""")
+def session_ids(spark, sf_dir):
+    """a session id for every event."""
+    return table(spark, sf_dir, "events").select("event_id", session_id("ts", "event_id").alias("session_id"))
+
+
+@query("export_times", sql="""
+SELECT event_id, coalesce(strftime(CASE WHEN event_type <> 'error' THEN ts END, '%Y-%m-%d %H:%M:%S'), 'unknown') AS shown
+FROM events""")
+def export_times(spark, sf_dir):
+    """times as an export shows them; an error event has none."""
+    e = table(spark, sf_dir, "events")
+    return e.select("event_id", export_time(F.when(F.col("event_type") != "error", F.col("ts"))).alias("shown"))
+
+
+_LOG_SQL = """
+SELECT CAST(o_custkey AS VARCHAR) AS user_id, o_orderstatus AS model,
+       TRY_CAST(CASE WHEN o_orderstatus = 'P' THEN 'bad' ELSE CAST(o_totalprice AS VARCHAR) END AS DOUBLE) AS score,
+       o_orderdate AS "timestamp", 'simulation' AS log_type
+FROM orders"""
+
+
+@query("selected_logs", sql=_LOG_SQL)
+def selected_logs(spark, sf_dir):
+    """U1 with a choice: of the train and test-result logs only the latter."""
+    train = table(spark, sf_dir, "events").filter(F.col("event_type") == "signup").select(
+        F.lit("train_models").alias("event"), F.col("ts").alias("timestamp"))
+    o = table(spark, sf_dir, "orders")
+    price = F.when(F.col("o_orderstatus") == "P", F.lit("bad")).otherwise(F.col("o_totalprice").cast("string"))
+    tests = o.select(F.col("o_custkey").alias("user_id"), F.col("o_orderstatus").alias("model"), price.alias("score"),
+                     F.col("o_orderdate").alias("timestamp"))
+    return prep.select_logs({"train": train, "simulation": tests}, "simulation",
+                            numeric_cols=["score"], time_cols=["timestamp"], id_cols=["user_id"])
+
+
+@query("numeric_means", sql="""
+SELECT l_returnflag, avg(l_orderkey) AS mean_l_orderkey, avg(l_partkey) AS mean_l_partkey, avg(l_suppkey) AS mean_l_suppkey,
+       avg(l_quantity) AS mean_l_quantity, avg(l_extendedprice) AS mean_l_extendedprice
+FROM lineitem GROUP BY 1""")
+def numeric_means(spark, sf_dir):
+    """Of a line item's columns, names and dates among them, the numeric ones averaged."""
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", "l_linestatus", "l_shipdate", "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
+    return prep.numeric_means(li, "l_returnflag")

@@ -113,3 +113,13 @@ WHERE nb_rank <= 5""")
 def knn_same_class(spark, sf_dir):
     """ML9 neighbours: the 5 nearest same-class vectors of every vector."""
     return vx.knn_same_class(_emb(spark, sf_dir), "vec_id", "label", "embedding", 5)
+
+
+@query("masked_mean_vector", sql=f"""
+WITH m AS (SELECT vec_id, CASE WHEN embedding[1] > 0 THEN 1.0 ELSE 0.0 END AS mask FROM embeddings)
+SELECT label, pos, sum(x * mask) / greatest(sum(mask), 1e-9) AS mean FROM ({_LONG}) JOIN m USING (vec_id)
+GROUP BY label, pos""")
+def masked_mean_vector(spark, sf_dir):
+    """A19 with a mask: vectors whose first component is positive count, others do not."""
+    e = _emb(spark, sf_dir).withColumn("mask", F.when(F.col("embedding")[0] > 0, 1.0).otherwise(0.0))
+    return vx.mean_vector(e, "label", "embedding", mask="mask")
