@@ -39,6 +39,7 @@ from ticketlake.session import materialize
 SEED = 42
 TEST_SIZE = 0.2
 LR_C = 1.0
+LR_TOL = 1e-4
 RF_TREES = 100
 RF_DEPTH = 30  # Spark's own limit
 SMOTE_NEIGHBOURS = 5
@@ -63,6 +64,7 @@ def logistic_regression(n_train: int, *, C: float = LR_C, max_iter: int = 1000,
     """ML3 with T20: the reference's penalty C on unscaled features equals Spark's
     regParam = 1 / (C * n) with standardization off and a pure L2 penalty."""
     lr = LogisticRegression(featuresCol=features, labelCol=label, family="multinomial", maxIter=max_iter,
+                            tol=LR_TOL,
                             regParam=1.0 / (C * max(n_train, 1)), elasticNetParam=0.0, standardization=False)
     if weight_col:
         lr.setWeightCol(weight_col)
