@@ -166,9 +166,13 @@ def test_toxicity_filter_keeps_columns(spark):
     assert left == {r.doc_id for r in toxicity.score(docs, spark.createDataFrame(labels, "doc_id long, toxic int")).where("predicted = 0").collect()}
 
 
-def test_url_filter(spark, sf_dir):
-    ok, message = compare(queries.op4_url_filter(spark, sf_dir), duck(sf_dir), queries.oracle_sql()["op4_url_filter"])
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_sql_form(spark, sf_dir, name):
+    ok, message = compare(queries.queries()[name](spark, sf_dir), duck(sf_dir), queries.oracle_sql()[name])
     assert ok, message
+
+
+def test_url_filter(spark):
     rows = [(1, None, "h"), (2, "", "h"), (None, "http://a.net/x", "h"), (4, "http://A.NET/" + "y" * 100000, "h"), (4, "x://", "h")]
     got = url_filter.judge_urls(spark.createDataFrame(rows, "page_id long, url string, host string"), queries.URL_RULES).collect()
     assert sorted((r.page_id or 0, r.host, r.rule, r.verdict) for r in got if r.rule) == [(0, "a.net", "net/", "block"), (4, "a.net", "net/", "block")]
