@@ -1,6 +1,8 @@
 """Edge cases of nested updates, numbering, masked means, evaluation with an encoder and
 answers on a stream."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -75,3 +77,27 @@ def test_answers_go_on_after_a_restart(spark, tmp_path):
     arrive([3])
     assert sorted(tuple(r) for r in run().collect()) == [(1, 2), (2, 4), (3, 6)]
     assert run().count() == 3
+
+
+def test_one_user_over_many_ranges(spark):
+    """Numbering and consecutive repeats of a user that fills several sorted ranges, with
+    null users, null times and null texts."""
+    rng = random.Random(5)
+    rows = [(k, rng.choice([1, 1, 1, 1, 2, None]), rng.choice([None, *range(300)]), rng.choice(["a", "b", None])) for k in range(2000)]
+    df = spark.createDataFrame(rows, "k int, u int, t int, x string")
+    conf = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(conf)
+    spark.conf.set(conf, "false")
+    try:
+        assert chat.sorted_ranges(df, "u", "t", "k").filter("u = 1").select("_range").distinct().count() > 2
+        numbered = {r.k: r.idx for r in chat.numbered_newest_first(df, "u", "t", "k").collect()}
+        left = {r.k for r in live.drop_consecutive_repeats(df, "u", "x", ["t", "k"]).collect()}
+    finally:
+        spark.conf.set(conf, before)
+    for u in (1, 2, None):
+        own = [r for r in rows if r[1] == u]
+        newest = sorted(own, key=lambda r: (r[2] is None, -(r[2] or 0), r[0]))
+        assert [numbered[r[0]] for r in newest] == list(range(1, len(own) + 1))
+        oldest = sorted(own, key=lambda r: (r[2] is not None, r[2] or 0, r[0]))
+        wanted = {b[0] for a, b in zip([(None,) * 4, *oldest], oldest) if a[3] is None or (b[3] is not None and a[3] != b[3])}
+        assert left & {r[0] for r in own} == wanted

@@ -129,10 +129,41 @@ def latest_per_key(df: DataFrame, key: str, ts_col: str, tie_col: str) -> DataFr
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
+def sorted_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
+    """The rows sorted over the whole table and written once, with the number of the range
+    each lies in (``_range``, in the order of the ranges).  A key with a third of all rows
+    fills many ranges, as long as ``order`` tells its rows apart."""
+    return materialize(df.orderBy(*order).withColumn("_range", F.spark_partition_id()))
+
+
 def numbered_newest_first(df: DataFrame, key: str, ts_col: str, tie_col: str, name: str = "idx") -> DataFrame:
-    """Number each key's rows from 1, newest first."""
-    w = Window.partitionBy(key).orderBy(F.col(ts_col).desc_nulls_last(), F.col(tie_col).asc())
-    return df.withColumn(name, F.row_number().over(w))
+    """Number each key's rows from 1, newest first (a null key is a key).
+
+    A row's number is its place among the key's rows of its sorted range plus the key's
+    rows in the ranges before, so one user's rows are never one task."""
+    order = [F.col(ts_col).desc_nulls_last(), F.col(tie_col).asc()]
+    ranges = sorted_ranges(df, F.col(key), *order)
+    sizes = ranges.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_key", "_r", (F.sum("_n").over(Window.partitionBy("_key").orderBy("_r")) - F.col("_n")).alias("_before"))
+    here = F.row_number().over(Window.partitionBy("_range", key).orderBy(*order))
+    return (ranges.withColumn("_here", here)
+            .join(before, (F.col("_range") == F.col("_r")) & F.col(key).eqNullSafe(F.col("_key")))
+            .withColumn(name, F.col("_before") + F.col("_here")).drop("_range", "_here", "_key", "_r", "_before"))
+
+
+def with_previous(df: DataFrame, key: str, order_cols: Sequence[str], col: str, name: str = "_prev") -> DataFrame:
+    """``lag`` of ``col`` over the key's rows (a null key is a key) in the order of the given
+    columns, by sorted ranges: the key's first row of a range takes the last one of the
+    key's range before."""
+    ranges = sorted_ranges(df, key, *order_cols)
+    w = Window.partitionBy("_range", key).orderBy(*order_cols)
+    tails = ranges.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_r")).agg(
+        F.max_by(F.struct(F.col(col).alias("v")), F.struct(*order_cols)).alias("_tail"))
+    carried = tails.select("_key", "_r", F.lag("_tail").over(Window.partitionBy("_key").orderBy("_r")).alias("_carried"))
+    return (ranges.withColumns({"_inner": F.lag(col).over(w), "_head": F.row_number().over(w) == 1})
+            .join(carried, (F.col("_range") == F.col("_r")) & F.col(key).eqNullSafe(F.col("_key")))
+            .withColumn(name, F.when(F.col("_head"), F.col("_carried.v")).otherwise(F.col("_inner")))
+            .drop("_range", "_inner", "_head", "_key", "_r", "_carried"))
 
 
 def numbered_with_progress(df: DataFrame, order_cols: Sequence[str]) -> DataFrame:
@@ -141,7 +172,7 @@ def numbered_with_progress(df: DataFrame, order_cols: Sequence[str]) -> DataFram
 
     The table is sorted by ranges; a row's number is its place in its range plus the sizes
     of the ranges before it, so no task ever holds more than one range."""
-    ranges = materialize(df.orderBy(*order_cols).withColumn("_range", F.spark_partition_id()))
+    ranges = sorted_ranges(df, *order_cols)
     sizes = ranges.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"),
                           F.sum("_n").over(Window.partitionBy()).alias("_all"))  # one row per range
