@@ -124,6 +124,41 @@ def test_line_dedup(spark, monkeypatch):
     assert line_dedup.line_classes(df.limit(0)).count() == 0
 
 
+def test_line_dedup_of_long_lines(spark, monkeypatch):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 9)))
+    lines = []
+    for size in (100, 148, 155, 200, 398, 402, 700, 1250, 1900):
+        for _ in range(3):
+            base = " ".join(word() for _ in range(size))[:size].strip()
+            lines += [base, *(edited(rng, base, size // 40 + 2, "abcdefgh ").strip() for _ in range(4))]
+            chain = base
+            for _ in range(3):  # one more word replaced in each
+                words = chain.split(" ")
+                words[rng.randrange(len(words))] = word()
+                lines.append(chain := " ".join(words))
+    passage = " ".join(word() for _ in range(12))  # in many lines, at other places
+    lines += [" ".join([*(word() for _ in range(rng.randint(5, 40))), passage, *(word() for _ in range(rng.randint(5, 40)))]) for _ in range(60)]
+    many = " ".join(word() for _ in range(60))
+    lines += [edited(rng, many, 4, "abcdefgh").strip() for _ in range(60)]
+    assert {min(2, len(x) // 10) for x in lines} == {2}
+    wanted = roots(lines, [
+        (a, b) for i, a in enumerate(lines) for b in lines[:i]
+        if abs(len(a) - len(b)) <= (t := max(2, min(len(a), len(b)) // 50)) and line_dedup.within(a, b, t)])
+    for a, b in rng.sample([(a, b) for a in lines[:70] for b in lines[:70] if abs(len(a) - len(b)) < 8], 40):
+        limit = rng.randint(2, 60)
+        assert line_dedup.within(a, b, limit) == (distance(a, b) <= limit)
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string").repartition(4)
+    first = {}
+    for k, x in enumerate(lines):
+        first.setdefault(wanted[x], k)
+    for block, cell in ((64, 256), (8, 16)):  # the second sends keys through the classes and the cells
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        monkeypatch.setattr(line_dedup, "CELL", cell)
+        got = {r.id: r.lines[0].first_doc for r in line_dedup.line_classes(df).collect()}
+        assert got == {k: first[wanted[x]] for k, x in enumerate(lines)}
+
+
 def labelled(rng, n, insult):
     rows, labels = [], []
     for k in range(n):
