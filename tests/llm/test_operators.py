@@ -246,6 +246,26 @@ def test_decontamination(spark):
     assert decontaminate.drop_leaks(df.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_in_parts(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(150)]
+    items = [(k, " ".join(rng.choice(words[:10 + 7 * k]) for _ in range(rng.randint(6, 30)))) for k in range(20)] + [(20, ""), (21, None)]
+    texts = []
+    for k in range(60):
+        own = items[k % 20][1].split()
+        for _ in range(rng.randint(0, len(own) // 3)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        texts.append(" ".join([*rng.choices(words, k=40), *own, *rng.choices(words, k=20)]))
+    df = spark.createDataFrame(list(enumerate(texts)) + [(100, None), (101, "")], "doc_id long, text string")
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    hits = lambda: {r.doc_id: [tuple(h) for h in r[decontaminate.HITS]] for r in decontaminate.find_leaks(df, benchmark).collect()}
+    one = hits()
+    assert sum(map(len, one.values())) > 20
+    monkeypatch.setattr(decontaminate, "MAX_PART_CHARS", 1000)
+    assert len(list(decontaminate.indexes(benchmark, "item_id", "text"))) > 2
+    assert hits() == one
+
+
 def test_chat_formatting(spark, sf_dir):
     got = {r.conv_id: r for r in queries.op7_chat_formatting(spark, sf_dir).collect()}
     rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]

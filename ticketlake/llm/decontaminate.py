@@ -15,20 +15,25 @@ ranked away.  Retrieved items are verified on word n-grams: the share of the que
 5-grams and of the answer's 2-grams that the passage has must reach their limits.
 
 The index is broadcast; its size is checked, and more items than fit are indexed in
-several parts that are queried one after the other.  Nothing is shuffled.
+several parts.  Document frequencies, item count, mean length and longest item are those of
+all items in every part, so scores and passages don't depend on the number of parts.  Each
+part is a pass of its own over the texts, stored before the next one; its broadcast is
+freed then.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ticketlake.llm.kernels import Words, pieces
+from ticketlake.llm.kernels import Words, as_long, pieces
 from ticketlake.llm.spark import bounded_batches
+from ticketlake.session import materialize
 
 K1, B = 1.2, 0.75
 BLOCK = 8
@@ -39,10 +44,23 @@ QUESTION_GRAM, ANSWER_GRAM = 5, 2
 HITS = "__hits"  # the added column
 
 
+class Whole(NamedTuple):
+    """Statistics over all items of a benchmark: number of items with words, their mean and
+    largest number of words; ``df`` of the sorted word hashes ``terms`` of one part."""
+
+    items: int
+    mean: float
+    longest: int
+    terms: np.ndarray
+    df: np.ndarray
+
+
 class Index:
-    """Block-max index of (question, answer) items; ``terms`` are sorted word hashes."""
+    """Block-max index of (question, answer) items; ``terms`` are sorted word hashes.
 
-    def __init__(self, items: list[tuple[int | None, str, str]]):
+    ``whole`` are the statistics of all items, if these are one part of them."""
+
+    def __init__(self, items: list[tuple[int | None, str, str]], whole: Whole | None = None):
         texts = [f"{q} {a}" for _, q, a in items]
         words = Words(texts)
         hashes, first = words.hashes(), words.first
@@ -50,15 +68,19 @@ class Index:
         keep = np.flatnonzero(length > 0)
         self.ids = [items[k][0] for k in keep]
         n = len(keep)
-        self.longest = int(length.max(initial=1))
+        self.longest = whole.longest if whole else int(length.max(initial=1))
         item = np.repeat(np.searchsorted(keep, np.arange(len(items))), length)
         self.terms, term = np.unique(hashes, return_inverse=True)
         pair, tf = np.unique(term.astype(np.int64) * max(n, 1) + item, return_counts=True)
         p_term, p_item = pair // max(n, 1), pair % max(n, 1)
         df = np.bincount(p_term, minlength=len(self.terms))
-        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         size = length[keep]
-        norm = K1 * (1 - B + B * size / max(size.mean() if n else 1, 1))
+        total, mean = n, size.mean() if n else 1
+        if whole:
+            total, mean = whole.items, whole.mean
+            df = whole.df[np.searchsorted(whole.terms, self.terms)] if n else df
+        idf = np.log(1 + (total - df + 0.5) / (df + 0.5))
+        norm = K1 * (1 - B + B * size / max(mean, 1))
         weight = idf[p_term] * tf * (K1 + 1) / (tf + norm[p_item])
         self.share = weight / np.bincount(p_item, weight, n)[p_item] if n else weight
         self.item = p_item
@@ -184,10 +206,30 @@ def search(index: Index, texts: list[str | None], threshold: float, question_sha
     return out
 
 
-def item_parts(benchmark: DataFrame, id_col: str, text_col: str):
-    """Generator of lists of (id, question, answer), each of at most MAX_PART_CHARS
-    characters: what one index holds.  Columns ``question`` and ``answer`` are used where
-    both exist, otherwise :func:`split_item` cuts the text."""
+def _word_rows(parts: bool):
+    """Arrow pass: (q, a, part) -> one row (part, term, n) per distinct word of an item, and
+    one with a null term and the item's number of words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            q, a, part = (batch.column(k).to_pylist() for k in range(3))
+            words = Words([f"{x} {y}" if parts else " ".join(split_item(x)) for x, y in zip(q, a)])
+            hashes, size = as_long(words.hashes()), np.diff(words.first)
+            own = [np.unique(hashes[words.first[k]:words.first[k + 1]]) for k in range(len(q))]
+            some = [k for k in range(len(q)) if size[k]]
+            count = [len(own[k]) for k in range(len(q))]
+            term = pa.concat_arrays([pa.array(np.concatenate(own) if own else [], pa.int64()), pa.nulls(len(some), pa.int64())])
+            yield pa.RecordBatch.from_pydict({
+                "part": pa.array([*np.repeat(part, count).tolist(), *(part[k] for k in some)], pa.int64()), "term": term,
+                "n": pa.array([*[1] * int(sum(count)), *(int(size[k]) for k in some)], pa.int64())})
+
+    return run
+
+
+def indexes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]:
+    """The index of all items, or one after the other those of its parts, each of about
+    MAX_PART_CHARS // 2 characters.  Columns ``question`` and ``answer`` are used where both
+    exist, otherwise :func:`split_item` cuts the text."""
     parts = {"question", "answer"} <= set(benchmark.columns)
     item = F.col(id_col).cast("long").alias("id")
     if parts:
@@ -197,10 +239,26 @@ def item_parts(benchmark: DataFrame, id_col: str, text_col: str):
     plain = plain.select("id", F.coalesce("q", F.lit("")).alias("q"), F.coalesce("a", F.lit("")).alias("a"))
     chars = plain.agg(F.sum(F.length("q") + F.length("a"))).first()[0] or 0
     n = 1 + int(chars // (MAX_PART_CHARS // 2))
+
+    def items(rows):
+        found = [(r["id"], r["q"], r["a"]) if parts else (r["id"], *split_item(r["q"])) for r in rows]
+        return sorted(found, key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2]))
+
+    if n == 1:
+        yield Index(items(plain.collect()))
+        return
+    dealt = plain.withColumn("part", F.pmod(F.xxhash64("id", "q", "a"), F.lit(n)))
+    words = materialize(dealt.select("q", "a", "part").mapInArrow(_word_rows(parts), "part long, term long, n long"))
+    count, total, longest = words.where("term is null").agg(F.count("*"), F.sum("n"), F.max("n")).first()
+    terms = words.where("term is not null")
+    df = terms.groupBy("term").agg(F.sum("n").alias("df"))
+    df = materialize(terms.select("part", "term").distinct().join(df, "term"))
     for k in range(n):
-        rows = plain.where(F.pmod(F.xxhash64("id", "q", "a"), F.lit(n)) == k).collect() if n > 1 else plain.collect()
-        items = [(r["id"], r["q"], r["a"]) if parts else (r["id"], *split_item(r["q"])) for r in rows]
-        yield sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1], x[2]))
+        rows = df.where(F.col("part") == k).select("term", "df").toArrow()
+        term = rows["term"].to_numpy().view(np.uint64)
+        order = np.argsort(term)
+        yield Index(items(dealt.where(F.col("part") == k).collect()), Whole(
+            count, (total or 0) / max(count, 1), longest or 1, term[order], rows["df"].to_numpy()[order]))
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -215,22 +273,38 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     bounded_batches(docs.sparkSession)
     hit = pa.struct([("item", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())])
     sc = docs.sparkSession.sparkContext
-    indexes = [sc.broadcast(Index(items)) for items in item_parts(benchmark, item_col, item_text)]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in pieces(batches, text_col):
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            hits: list[dict] = [{} for _ in texts]
-            for index in indexes:
-                for mine, more in zip(hits, search(index.value, texts, threshold, question_share, answer_share)):
-                    for item, what in more.items():
-                        mine[item] = max(mine.get(item, what), what)
-            rows = [[(i, *v) for i, v in sorted(h.items(), key=lambda x: (x[0] is None, x[0] or 0))] for h in hits]
-            rows = [[dict(zip(("item", "score", "question", "answer"), r)) for r in row] for row in rows]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(hit))], names=[*batch.schema.names, HITS])
-
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, fields + f", {HITS} array<struct<item: bigint, score: double, question: double, answer: double>>")
+    fields += f", {HITS} array<struct<item: bigint, score: double, question: double, answer: double>>"
+
+    def search_with(index, later: bool):
+        """Pass of one part; a later one adds to the hits of those before."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in pieces(batches, text_col):
+                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                found = search(index.value, texts, threshold, question_share, answer_share)
+                columns, names = list(batch.columns), list(batch.schema.names)
+                if later:
+                    names.pop()
+                    for mine, before in zip(found, columns.pop().to_pylist()):
+                        for x in before:
+                            what = (x["score"], x["question"], x["answer"])
+                            mine[x["item"]] = max(mine.get(x["item"], what), what)
+                rows = [[(i, *v) for i, v in sorted(h.items(), key=lambda x: (x[0] is None, x[0] or 0))] for h in found]
+                rows = [[dict(zip(("item", "score", "question", "answer"), r)) for r in row] for row in rows]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, pa.list_(hit))], names=[*names, HITS])
+
+        return run
+
+    out, last = docs, None
+    for index in indexes(benchmark, item_col, item_text):
+        if last is not None:  # the pass before is stored, so that its index can go
+            out = materialize(out)
+            last.destroy()
+        here = sc.broadcast(index)
+        out = out.mapInArrow(search_with(here, last is not None), fields)
+        last = here
+    return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
