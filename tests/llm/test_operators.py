@@ -338,6 +338,17 @@ def test_license_scan(spark):
     assert license_scan.document_licenses(df.limit(0)).count() == 0
 
 
+def test_license_beside_other_sentences_and_over_lines(spark):
+    texts = ["Great article about trains. Released under the MIT License.", "Copyright 2020 Foo Inc. All rights reserved.",
+             "/*\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following\n"
+             " * conditions are met.\n */", "x\nReleased under\nthe MIT License. " + "word " * 200 + "All rights reserved. All rights reserved.",
+             "Released under the other and different MIT License.", "All their rights reserved."]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.pos, r.license, r.n_diff) for r in license_scan.scan(df).collect()}
+    assert got == {(0, 0, "MIT", 0), (1, 0, "all-rights-reserved", 0), (2, 1, "BSD-3-Clause", 0), (3, 1, "MIT", 0), (3, 2, "all-rights-reserved", 0)}
+    assert {r.doc_id: r.n_blocks for r in license_scan.document_licenses(df).collect()} == {0: 1, 1: 1, 2: 1, 3: 3, 4: 0, 5: 0}
+
+
 def test_pipeline_stages(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard_join", "decontamination", "byte_bpe"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

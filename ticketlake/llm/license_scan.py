@@ -1,19 +1,18 @@
 """License scan by conditional compression.
 
-A block is a line of a document; lines longer than LONG_LINE characters are cut at
-sentence ends.  Blocks with a word that some template makes indispensable (``license``,
-``copyright``, ...) are candidates.  A candidate is compressed alone and once with each
-template as zstandard raw dictionary; templates are ranked by the share of bytes they
-save, and the winner is confirmed by its exact wording: the words inserted, deleted and
-replaced against the template, at most a share MAX_DIFF of the template's words.
-
-Equal candidates are judged once: counting blocks by text is combined on the map side, so
-a notice that a third of all documents carries is compressed once.
+A document is one sequence of words, across its lines.  A template of m words is confirmed
+by a stretch of that sequence that aligns with it with at most d = MAX_DIFF * m words
+inserted, deleted or replaced; what stands before and after the stretch doesn't count, so a
+notice is found beside other sentences and wrapped over lines.
+
+Cut into d+1 pieces, a template has one piece that d differences leave whole.  Only
+documents with a piece of a template are aligned, and only around the piece, which loses
+nothing.  The stretch, called block, is compressed alone and with the template as zstandard
+raw dictionary; of blocks that overlap, the one with the largest share of bytes saved stays.
 """
 
 from __future__ import annotations
 
-import difflib
 import re
 from collections.abc import Iterator
 
@@ -22,6 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ticketlake.llm.kernels import pieces
 from ticketlake.llm.spark import bounded_batches
 
 # Wordings of public license notices: fixed values.
@@ -37,99 +37,175 @@ TEMPLATES = {
     "CC0-1.0": "To the extent possible under law, the author has waived all copyright and related rights to this work.",
     "all-rights-reserved": "All rights reserved.",
 }
-# A template of this list shares one of these with every block that can be confirmed as it.
-KEYWORDS = ["licen[sc]", "copyright", "rights", "redistribution", "cc by", "warrant"]
-LONG_LINE = 400
 MAX_DIFF = 0.2
 LEVEL = 3
+WORD = re.compile(r"\w+(?:[.-]\w+)*")
+END = re.compile(r"[^\w\s]*")  # what belongs to a block after its last word
 
 
 def words_of(text: str) -> list[str]:
-    return re.findall(r"\w+(?:[.-]\w+)*", text.lower())
-
-
-def wording(block: str, template: str) -> tuple[int, list[str]]:
-    """(number of differing words, differences as ``-deleted +inserted``)."""
-    a, b = words_of(template), words_of(block)
-    count, out = 0, []
-    for kind, i, j, k, m in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
-        if kind != "equal":
-            count += max(j - i, m - k)
-            out.append(" ".join(["-" + w for w in a[i:j]] + ["+" + w for w in b[k:m]]))
-    return count, out
-
-
-def blocks_of(line: str) -> list[str]:
-    """The line, or its sentences if it is long."""
-    if len(line) <= LONG_LINE:
-        return [line]
-    return [s for s in re.split(r"(?<=[.!?;])\s+", line) if s]
+    return [w.lower() for w in WORD.findall(text)]
+
+
+def allowed(m: int) -> int:
+    """Differing words for a template of m words."""
+    return int(MAX_DIFF * m + 1e-9)
+
+
+def align(a: list[str], b: list[str], most: int) -> tuple[int, int, int, list[str]] | None:
+    """(begin, end, differing words, differences as ``-deleted +inserted``) of the first
+    stretch of ``b`` nearest to ``a``, or None if it has more than ``most`` differences."""
+    m, n = len(a), len(b)
+    cost = [[0] * (n + 1)]
+    for i, w in enumerate(a, 1):
+        up, row = cost[-1], [i]
+        for j, x in enumerate(b):
+            row.append(min(up[j] + (w != x), up[j + 1] + 1, row[j] + 1))
+        cost.append(row)
+    least = min(cost[m])
+    if least > most:
+        return None
+    j = cost[m].index(least)
+    while j < n and cost[m][j + 1] == least:  # a replaced last word rather than a deleted one
+        j += 1
+    i, end, out, gone, come = m, j, [], [], []
+    while i or gone or come:
+        if i and j and cost[i][j] == cost[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+            i, j = i - 1, j - 1
+            if a[i] != b[j]:
+                gone.append("-" + a[i])
+                come.append("+" + b[j])
+                continue
+        elif i and cost[i][j] == cost[i - 1][j] + 1:
+            i -= 1
+            gone.append("-" + a[i])
+            continue
+        elif i:
+            j -= 1
+            come.append("+" + b[j])
+            continue
+        if gone or come:
+            out.append(" ".join(gone[::-1] + come[::-1]))
+            gone, come = [], []
+    return j, end, least, out[::-1]
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str]):
-        self.templates = templates
+        self.words = {name: w for name, text in templates.items() if (w := words_of(text))}
         self.plain = zstandard.ZstdCompressor(level=LEVEL)
         self.given = {
             name: zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(
                 text.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
             for name, text in templates.items()}
-
-    def best(self, block: str) -> tuple[str, float, int, list[str]] | None:
-        """(template, share of bytes saved, differing words, differences) of the winner,
-        or None if its wording differs too much.  Equal savings: the smaller difference,
-        then the template's name."""
+        # first word -> (piece, its place in the template, template)
+        self.pieces: dict[str, list[tuple[list[str], int, str]]] = {}
+        self.needed: set[str] | None = set()  # a text without any of these has no piece
+        for name, words in self.words.items():
+            parts = allowed(len(words)) + 1
+            for k in range(parts):
+                at, to = k * len(words) // parts, (k + 1) * len(words) // parts
+                self.pieces.setdefault(words[at], []).append((words[at:to], at, name))
+                plain = [w for w in words[at:to] if w.isascii()]  # lower case of others may depend on what is around
+                if plain and self.needed is not None:
+                    self.needed.add(max(plain, key=len))
+                else:
+                    self.needed = None
+
+    def saved(self, name: str, block: str) -> float:
+        """Share of the block's bytes that the template saves."""
         data = " ".join(block.lower().split()).encode("utf-8", "surrogatepass")
         alone = len(self.plain.compress(data))
-        saved = sorted(((alone - len(c.compress(data))) / alone, name) for name, c in self.given.items())
-        top = saved[-1][0]
-        if top <= 0:
-            return None
-        options = []
-        for share, name in saved:
-            if share == top:
-                count, diff = wording(block, self.templates[name])
-                options.append((count, name, diff))
-        count, name, diff = min(options)
-        if count > MAX_DIFF * len(words_of(self.templates[name])):
-            return None
-        return name, top, count, diff
+        return (alone - len(self.given[name].compress(data))) / alone
+
+    def blocks(self, text: str, gated: bool = True) -> list[tuple[int, str, str, float, int, list[str]]]:
+        """(place in the text, block, template, share of bytes saved, differing words,
+        differences) of the confirmed blocks.  Equal savings: the smaller difference, then
+        the template's name.  Without the gate all of the text is aligned."""
+        if gated and self.needed is not None:
+            low = text.lower()
+            if not any(w in low for w in self.needed):
+                return []
+        spans = [x.span() for x in WORD.finditer(text)]
+        words = [text[lo:hi].lower() for lo, hi in spans]
+        windows: dict[str, list[tuple[int, int]]] = {}
+        if gated:
+            for i, w in enumerate(words):
+                for piece, at, name in self.pieces.get(w, ()):
+                    if words[i:i + len(piece)] == piece:
+                        m = len(self.words[name])
+                        d = allowed(m)
+                        windows.setdefault(name, []).append((max(0, i - at - d), min(len(words), i - at + m + d)))
+        else:
+            windows = {name: [(0, len(words))] for name in self.words}
+        found = []
+        for name, todo in windows.items():
+            taken: list[tuple[int, int]] = []
+            todo = sorted(set(todo), reverse=True)
+            while todo:
+                lo, hi = todo.pop()
+                for s, e in taken:  # what a stretch has already covered
+                    if s <= lo < e:
+                        lo = e
+                    if s < hi <= e:
+                        hi = s
+                inside = next(((s, e) for s, e in taken if lo < s and e < hi), None)
+                if inside:
+                    todo += [(inside[1], hi), (lo, inside[0])]
+                    continue
+                m = len(self.words[name])
+                if hi - lo < max(1, m - allowed(m)):
+                    continue
+                if (got := align(self.words[name], words[lo:hi], allowed(m))) is None:
+                    continue
+                s, e, count, diff = got[0] + lo, got[1] + lo, got[2], got[3]
+                taken.append((s, e))
+                todo += [(e, hi), (lo, s)]
+                begin, end = spans[s][0], END.match(text, spans[e - 1][1]).end()
+                found.append((-self.saved(name, text[begin:end]), count, name, s, e, begin, text[begin:end], diff))
+        out, used = [], []
+        for share, count, name, s, e, begin, block, diff in sorted(found):
+            if all(e <= x or y <= s for x, y in used):
+                used.append((s, e))
+                out.append((begin, block, name, -share, count, diff))
+        return sorted(out)
+
+    def best(self, block: str) -> tuple[str, float, int, list[str]] | None:
+        """(template, share of bytes saved, differing words, differences) of the block of
+        a text that saves most, or None."""
+        found = self.blocks(block)
+        return min(((x[2:]) for x in found), key=lambda x: (-x[1], x[2], x[0])) if found else None
 
 
 def _scan(templates: dict[str, str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(templates)
-        for batch in batches:
+        for batch in pieces(batches, "text"):
             rows = []
-            for line in batch.column(0).to_pylist():
-                for block in blocks_of(line):
-                    if (hit := scanner.best(block)) is not None:
-                        rows.append((line, block, *hit))
-            cols = list(zip(*rows)) if rows else [[]] * 6
+            for doc, text in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                for begin, *hit in scanner.blocks(text or ""):
+                    rows.append((doc, text.count("\n", 0, begin), *hit, begin))
+            cols = list(zip(*rows)) if rows else [[]] * 8
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.string()), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()),
-                 pa.array(cols[3], pa.float64()), pa.array(cols[4], pa.int64()), pa.array(cols[5], pa.list_(pa.string()))],
-                names=["line", "block", "license", "saved", "n_diff", "diff"])
+                [pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "pos", "block", "license", "saved", "n_diff", "diff", "start"])
 
     return run
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
-    """One row per confirmed block: id, pos (line number), block, license, saved, n_diff, diff.
+    """One row per confirmed block: id, pos (number of the line it begins in), block,
+    license, saved, n_diff, diff, start (its place in the text).
 
     Null and empty texts have no blocks.  Rows that repeat an id are scanned alike and
     give repeated results, a row without id gives results without id.  Other columns are
     ignored; an empty table or template list gives an empty result."""
     bounded_batches(docs.sparkSession)
     templates = TEMPLATES if templates is None else templates
-    lines = docs.select(F.col(id_col).cast("long").alias("id"), F.posexplode(F.split(F.col(text_col).cast("string"), "\n")).alias("pos", "line"))
-    some = lines.where(F.lower("line").rlike("|".join(KEYWORDS)))
-    if not templates:
-        some = some.where("false")
-        templates = TEMPLATES
-    found = some.select("line").groupBy("line").count().select("line").mapInArrow(
-        _scan(templates), "line string, block string, license string, saved double, n_diff long, diff array<string>")
-    return some.join(found, "line").select(F.col("id").alias(id_col), "pos", "block", "license", "saved", "n_diff", "diff")
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = plain.mapInArrow(
+        _scan(templates), "id long, pos int, block string, license string, saved double, n_diff long, diff array<string>, start long")
+    return found.withColumnRenamed("id", id_col)
 
 
 def document_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
@@ -137,7 +213,7 @@ def document_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     all blocks).  A document without a confirmed block has 0, an empty list and 0; so has
     a row without id, whose blocks can't be told from other rows'."""
     hits = (scan(docs, id_col, text_col, templates).where(F.col(id_col).isNotNull())
-            .dropDuplicates([id_col, "pos", "block"])
+            .dropDuplicates([id_col, "start", "block"])
             .groupBy(F.col(id_col).alias("_id"))
             .agg(F.count("*").alias("n_blocks"), F.sort_array(F.collect_set("license")).alias("licenses"), F.sum("n_diff").alias("n_diff")))
     ids = docs.select(F.col(id_col))
