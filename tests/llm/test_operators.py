@@ -349,6 +349,32 @@ def test_license_beside_other_sentences_and_over_lines(spark):
     assert {r.doc_id: r.n_blocks for r in license_scan.document_licenses(df).collect()} == {0: 1, 1: 1, 2: 1, 3: 3, 4: 0, 5: 0}
 
 
+def test_license_gate_loses_nothing(spark):
+    rng = random.Random(9)
+    templates = {
+        **license_scan.TEMPLATES, "granted": "Permission is hereby granted, free of charge, to any person obtaining a copy",
+        "unlicense": "This is free and unencumbered software released into the public domain.", "other script": "Все права защищены ΟΔΟΣ."}
+    texts = ["Released under the MIT terms.", templates["granted"], templates["unlicense"], "x ВСЕ ПРАВА ЗАЩИЩЕНЫ Οδος"]
+    for text in templates.values():
+        for _ in range(3):
+            words = text.split()
+            for _ in range(rng.randint(0, len(words) // 4 + 1)):
+                at, kind = rng.randrange(len(words)), rng.random()
+                words[at:at + (kind > 0.3)] = [] if kind > 0.7 and len(words) > 2 else [rng.choice(["zebra", "the", "license", "all"])]
+            texts.append(f"some {rng.choice(['words.', 'rights'])}\n" + "".join(w + rng.choice([" ", " ", "\n", ", "]) for w in words) + "and more")
+    scanner = license_scan.Scanner(templates)
+    wanted = {(k, *x[:3]) for k, text in enumerate(texts) for x in scanner.blocks(text, gated=False)}
+    assert 30 < len({x[0] for x in wanted}) < len(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.doc_id, r.start, r.block, r.license) for r in license_scan.scan(df, templates=templates).collect()}
+    assert got == wanted
+    assert {(x[0], x[3]) for x in got if x[0] < 4} == {(0, "MIT"), (1, "granted"), (2, "unlicense"), (3, "other script")}
+    whole = {name: license_scan.TEMPLATES[name] for name in license_scan.TEMPLATES if name.endswith("text")}
+    wrapped = [(name, text.replace(". ", ".\n\n * ")) for name, text in whole.items()]
+    found = license_scan.document_licenses(spark.createDataFrame(wrapped, "doc_id string, text string").selectExpr("crc32(doc_id) as doc_id", "text"))
+    assert {r.doc_id: r.licenses for r in found.collect()} == {zlib.crc32(name.encode()): [name] for name in whole}
+
+
 def test_pipeline_stages(spark, sf_dir):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_jaccard_join", "decontamination", "byte_bpe"]
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
