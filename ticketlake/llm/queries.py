@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ticketlake.llm import (
-    bpe, chat_format, decontaminate, license_scan, line_dedup, ngram_join, quality, toxicity, url_filter, vector_dedup,
+    bpe, centroids, chat_format, decontaminate, license_scan, line_dedup, ngram_join, oracles, prefix_trie, quality, quality_rules,
+    toxicity, url_filter, vector_dedup,
 )
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,6 +179,31 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.document_licenses(_table(spark, sf_dir, "documents"))
 
 
+_ORACLES["op11_quality_rules"] = oracles.QUALITY_RULES
+
+
+@_query
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+_ORACLES["op12_prefix_trie"] = oracles.PREFIX_TRIE
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
+_ORACLES["op13_centroid_clustering"] = oracles.centroid_clustering()
+
+
+@_query
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
