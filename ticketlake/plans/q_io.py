@@ -70,7 +70,38 @@ def service_log_roundtrip(spark, sf_dir):
         "priority": F.lit("low"), "sentiment": F.lit("neutral"),
         "question": F.lit("why | intent=wrong | response_time=1.000s"), "answer": F.lit("user_id=0 | intent=wrong")})
     files.write_service_log(i, path, "v1")
-    return files.read_service_log(spark, path)
+    return files.read_service_log(spark, path).drop("question", "answer", "model_version")
+
+
+@query("service_log_records", sql="""
+SELECT CAST(doc_id AS VARCHAR) AS user_id, text AS question, concat_ws(chr(10), source, lang, text) AS answer,
+       'gpt-3.5-turbo' AS model_version, round(n_chars / 1000.0, 3) AS response_time FROM documents""")
+def service_log_records(spark, sf_dir):
+    """Whole records of the service log.  Every document is logged as a question, and
+    with two more lines as its answer, so the records run over many lines; they are read
+    back with question, answer and model version, wherever the files are split."""
+    path = _folder(spark, "service_records")
+    d = table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("user_id"), F.lit("greet").alias("intent_tag"), F.lit("low").alias("priority"), F.lit("neutral").alias("sentiment"),
+        F.lit(True).alias("thumbs_up"), F.lit(False).alias("thumbs_down"), F.lit(False).alias("is_fallback"),
+        (F.col("n_chars") / 1000).alias("response_time"), F.to_timestamp_ntz(F.lit("2024-05-01 10:11:12.345")).alias("timestamp"),
+        F.col("text").alias("question"), F.concat_ws("\n", "source", "lang", "text").alias("answer"))
+    files.write_service_log(d, path, "gpt-3.5-turbo")
+    return files.read_service_log(spark, path).select("user_id", "question", "answer", "model_version", "response_time")
+
+
+@query("json_array_import", sql="""
+SELECT doc_id, text, lang, source, n_chars FROM documents""")
+def json_array_import(spark, sf_dir):
+    """Documents as one array of objects, the form of an exported file, read back by
+    many tasks.  The array is a file of its own by a single writer here; the reader splits
+    it at any byte."""
+    path = _folder(spark, "json_array")
+    d = table(spark, sf_dir, "documents")
+    whole = d.select(F.concat(F.lit(",\n"), F.to_json(F.struct("*"))).alias("value"))
+    spark.createDataFrame([('[{"doc_id": null}',)], "value string").union(whole).union(
+        spark.createDataFrame([("]",)], "value string")).coalesce(1).write.text(path)
+    return files.read_json_records(spark, path, d.schema).where("doc_id is not null")
 
 
 @query("default_message_import", sql="""

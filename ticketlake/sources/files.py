@@ -7,6 +7,7 @@ job-commit protocol making a rerun after a lost executor safe.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ticketlake.functions.scalar import strip
+from ticketlake.sources.records import JsonObjects, Lines, QuotedLines, read_records
 
 # ---- fixed values (must equal the reference's for right results) --------------------
 # Label replacement applied when loading a ticket CSV (experiments' loader).
@@ -30,12 +32,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """CSV with header; quoted multi-line fields.  Without a schema every column is a
-    string (no inference scan); typed columns come from ``try_cast`` downstream."""
-    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
-    if schema is not None:
-        r = r.schema(schema)
-    return r.csv(path)
+    """CSV with header and quoted multi-line fields; one large file is read by many tasks.
+    Without a schema every column is a string (no inference scan); typed columns come from
+    ``try_cast`` downstream.  Rows are those of Spark's reader of whole files: lines that
+    end with CR LF are normalised, blank lines skipped, broken fields null."""
+    if schema is None:
+        names = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path).columns
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    text = F.col("text")
+    crlf = F.endswith(text, F.lit("\r\n"))
+    plain = F.when(crlf, F.replace(text, F.lit("\r\n"), F.lit("\n"))).otherwise(text)
+    rows = (read_records(spark, path, QuotedLines()).where("not (block = 0 and place = 1)")  # the header
+            .select(F.regexp_replace(plain, r"\n\z", "").alias("text")).where("text <> ''"))
+    return rows.select(F.from_csv("text", _ddl(schema), {"escape": '"'}).alias("row")).select("row.*")
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in schema.fields)
 
 
 def load_ticket_csv(spark: SparkSession, path: str, text_col: str, label_col: str | None = None) -> DataFrame:
@@ -76,12 +89,25 @@ def question_lines(spark: SparkSession, path: str, strip_commas: bool = True) ->
 
 def read_json_records(spark: SparkSession, path: str, schema: T.StructType | None = None,
                       multi_line: bool = True) -> DataFrame:
-    """JSON files each holding one object or an array of objects (``multi_line``),
-    or JSON-lines files (one object per line, as Spark writes them)."""
-    r = spark.read.option("multiLine", multi_line)
-    if schema is not None:
-        r = r.schema(schema)
-    return r.json(path)
+    """JSON files each holding one object or an array of objects (``multi_line``; one
+    large file is read by many tasks), or JSON-lines files (one object per line, as Spark
+    writes them).  Elements of an array that aren't objects are no records.  Without a
+    schema it is inferred from all records: numbers with a fraction are doubles, fields
+    of several types strings."""
+    if not multi_line:
+        r = spark.read.schema(schema) if schema is not None else spark.read
+        return r.json(path)
+    records = (read_records(spark, path, JsonObjects())
+               .select(F.regexp_replace("text", r"^[\s,\[]+", "").alias("text")).where(F.startswith("text", F.lit("{"))))
+    if schema is None:
+        found = records.select(F.schema_of_variant_agg(F.try_parse_json("text")).alias("s")).first()["s"]
+        given = found if found.startswith("OBJECT<") else "OBJECT<>"  # no record can be parsed
+        for kind, ours in ((r"\bOBJECT<", "STRUCT<"), (r"\bDECIMAL\(\d+,\s*\d+\)", "DOUBLE"), (r"(: |<)(VOID|VARIANT)\b", r"\1STRING")):
+            given = re.sub(kind, ours, given)
+        if given == "STRUCT<>":
+            return records.where("false").select()
+        return records.select(F.from_json("text", given).alias("row")).select("row.*")
+    return records.select(F.from_json("text", schema).alias("row")).select("row.*")
 
 
 def with_provenance(df: DataFrame, source: str) -> DataFrame:
@@ -137,17 +163,32 @@ LOG_FIELDS = ["user_id", "intent", "priority", "sentiment", "thumbs_up", "thumbs
 # ---------------------------------------------------------------------------------------
 
 
-def read_service_log(spark: SparkSession, path: str) -> DataFrame:
-    """The interaction lines of the service's text log: time, level and all fields.
+# log_error's line: time, level, then user and exception.
+LOG_ERROR = r"user_id=([^\n]*?) \| Exception type=([^\n:]*): (.*)"
+
+
+def _log_times() -> list[Column]:
+    return [F.to_timestamp_ntz(F.concat("_time", F.lit("."), "_ms"), F.lit("yyyy-MM-dd HH:mm:ss.SSS")).alias("timestamp"), F.col("level")]
+
 
-    Only lines with the log's prefix and every field in order count; the Q:, A: and
-    model_version lines that follow one, whatever their text, are not lines of their own.
-    A python None reads as null."""
-    pattern = LOG_PREFIX + r" \| ".join(f"{name}=(.*?)" for name in LOG_FIELDS[:-1]) + rf" \| {LOG_FIELDS[-1]}=([0-9.]+)s$"
-    line = F.col("value")
-    groups = ["_time", "_ms", "level", *LOG_FIELDS]
-    rows = spark.read.text(path).filter(line.rlike(pattern)).select(
-        *[F.regexp_extract(line, pattern, i + 1).alias(g) for i, g in enumerate(groups)])
+def _log_groups(spark: SparkSession, path: str, pattern: str, names: Sequence[str]) -> DataFrame:
+    record = F.regexp_replace("text", r"\n\z", "")
+    return (read_records(spark, path, Lines(LOG_PREFIX)).select(record.alias("record")).filter(F.col("record").rlike(pattern))
+            .select(*[F.regexp_extract("record", pattern, i + 1).alias(g) for i, g in enumerate(names)]))
+
+
+def read_service_log(spark: SparkSession, path: str) -> DataFrame:
+    """The interactions of the service's text log: time, level, all fields, question,
+    answer and model version.
+
+    A record begins at a line with the log's prefix and ends before the next one, wherever
+    the file is split; of those only interactions count.  The question ends at the first
+    line that begins with ``A: ``, the answer before the last ``model_version`` line, so both
+    may have line feeds.  A python None reads as null; so do question, answer and version
+    of a record that was cut off."""
+    pattern = (r"(?s)" + LOG_PREFIX + r" \| ".join(f"{name}=([^\\n]*?)" for name in LOG_FIELDS[:-1]) + rf" \| {LOG_FIELDS[-1]}=([0-9.]+)s"
+               + r"(?:\nQ: (.*?)\nA: (.*)\nmodel_version=([^\n]*)|\n.*)?\z")
+    rows = _log_groups(spark, path, pattern, ["_time", "_ms", "level", *LOG_FIELDS, "question", "answer", "model_version"])
 
     def text(name: str) -> Column:
         return F.when(F.col(name) != "None", F.col(name))
@@ -155,11 +196,21 @@ def read_service_log(spark: SparkSession, path: str) -> DataFrame:
     def flag(name: str) -> Column:
         return F.when(F.col(name) != "None", F.col(name) == "True")
 
+    def said(name: str) -> Column:
+        return F.when((F.col("model_version") != "") & (F.col(name) != "None"), F.col(name)).alias(name)
+
     return rows.select(
-        F.to_timestamp_ntz(F.concat("_time", F.lit("."), "_ms"), F.lit("yyyy-MM-dd HH:mm:ss.SSS")).alias("timestamp"), "level",
-        text("user_id").alias("user_id"), text("intent").alias("intent_tag"), text("priority").alias("priority"),
+        *_log_times(), text("user_id").alias("user_id"), text("intent").alias("intent_tag"), text("priority").alias("priority"),
         text("sentiment").alias("sentiment"), flag("thumbs_up").alias("thumbs_up"), flag("thumbs_down").alias("thumbs_down"),
-        flag("fallback").alias("is_fallback"), F.col("response_time").try_cast("double").alias("response_time"))
+        flag("fallback").alias("is_fallback"), F.col("response_time").try_cast("double").alias("response_time"),
+        said("question"), said("answer"), said("model_version"))
+
+
+def read_service_errors(spark: SparkSession, path: str) -> DataFrame:
+    """The errors of the same log: time, level, user, exception type and message, which
+    may have line feeds."""
+    rows = _log_groups(spark, path, r"(?s)" + LOG_PREFIX + LOG_ERROR + r"\z", ["_time", "_ms", "level", "user_id", "error_type", "error_msg"])
+    return rows.select(*_log_times(), F.when(F.col("user_id") != "None", F.col("user_id")).alias("user_id"), "error_type", "error_msg")
 
 
 def write_service_log(interactions: DataFrame, path: str, model_version: str) -> None:
