@@ -32,7 +32,7 @@ from ticketlake.functions.text import TOKEN_PATTERN
 from ticketlake.operators import evaluation as ev
 from ticketlake.operators import vectors as vx
 from ticketlake.operators.prep import label_filter
-from ticketlake.operators.text import fit_tfidf
+from ticketlake.operators.text import BASELINE_MAX_FEATURES, BASELINE_MIN_DF, PRIORITY_MAX_FEATURES, PRIORITY_NGRAMS, fit_tfidf
 from ticketlake.session import materialize
 
 # ---- fixed values (must equal the reference's for right results) --------------------
@@ -45,10 +45,14 @@ RF_DEPTH = 30  # Spark's own limit
 SMOTE_NEIGHBOURS = 5
 KMEANS_K = 3
 FULL_EVALUATION_K = 8
+BALANCED_MAX_ITER = 2000
+PREDICTION_SAMPLE = 200
 EMPTY_TEXT_SENTIMENT = "neutral"
 FAILED_SENTIMENT, FAILED_PRIORITY = "unknown", "Low"
 # ---------------------------------------------------------------------------------------
 
+OVR_PARALLELISM = 4  # classes fitted at the same time; each is a job of its own
+
 
 def to_vector(df: DataFrame, array_col: str, out: str = "features") -> DataFrame:
     """array<float|double> -> ml Vector (and ``vector_to_array`` for the way back)."""
@@ -75,7 +79,7 @@ def linear_ovr(*, features: str = "features", label: str = "label_idx", weight_c
     """ML4: one-vs-rest linear classifiers with log loss (SGD in the reference; same
     objective, another optimiser)."""
     base = LogisticRegression(featuresCol=features, labelCol=label, regParam=1e-4, maxIter=1000)
-    ovr = OneVsRest(classifier=base, featuresCol=features, labelCol=label)
+    ovr = OneVsRest(classifier=base, featuresCol=features, labelCol=label, parallelism=OVR_PARALLELISM)
     if weight_col:
         ovr.setWeightCol(weight_col)
     return ovr
@@ -94,15 +98,16 @@ def random_forest(*, features: str = "features", label: str = "label_idx", weigh
 
 def fit_predict(train: DataFrame, test: DataFrame, estimator_factory: Callable[[int], object], *,
                 label_col: str = "label", features: str = "features", balanced: bool = False) -> DataFrame:
-    """Index labels, fit on ``train``, predict ``test``; returns test rows with
-    ``y_true`` and ``y_pred`` as strings (ML6 / IndexToString)."""
+    """Index labels, fit on ``train`` (with class weights if ``balanced``), predict ``test``;
+    returns test rows with ``y_true`` and ``y_pred`` as strings (ML6 / IndexToString)."""
     indexer = StringIndexer(inputCol=label_col, outputCol="label_idx", handleInvalid="keep",
                             stringOrderType="alphabetAsc").fit(train)
     tr = indexer.transform(train)
+    estimator = estimator_factory(tr.count())
     if balanced:
         tr = ev.with_class_weights(tr, label_col, "weight")
-    n = tr.count()
-    model = estimator_factory(n).fit(tr)
+        estimator.setWeightCol("weight")
+    model = estimator.fit(tr)
     pred = model.transform(indexer.transform(test))
     back = IndexToString(inputCol="prediction", outputCol="y_pred", labels=indexer.labels)
     return back.transform(pred).withColumn("y_true", F.col(label_col).cast("string"))
@@ -265,6 +270,19 @@ def train_text_classifier(df: DataFrame, label_col: str, *, text_col: str = "tex
     return PipelineModel(stages=list(feats.stages) + [clf, back])
 
 
+def baseline_classifier(df: DataFrame, label_col: str, *, text_col: str = "text") -> PipelineModel:
+    """ML4 with the reference's settings: TF-IDF of at most 20,000 terms that two documents
+    have, balanced one-vs-rest linear classifiers."""
+    return train_text_classifier(df, label_col, text_col=text_col, kind="ovr", max_features=BASELINE_MAX_FEATURES,
+                                 min_df=BASELINE_MIN_DF, balanced=True)
+
+
+def priority_classifier(df: DataFrame, label_col: str = "priority", *, text_col: str = "text") -> PipelineModel:
+    """ML5 with the reference's settings: TF-IDF of 5,000 uni- and bigrams, balanced forest."""
+    return train_text_classifier(df, label_col, text_col=text_col, kind="rf", max_features=PRIORITY_MAX_FEATURES,
+                                 ngrams=PRIORITY_NGRAMS, balanced=True)
+
+
 def save_model(model: PipelineModel, path: str) -> None:
     """Persist a fitted pipeline (overwrite)."""
     model.write().overwrite().save(path)
@@ -294,20 +312,20 @@ def _encoded(df: DataFrame, encoder: Encoder | None, keep: Sequence[str], featur
 def evaluate_classification(df: DataFrame, id_col: str, label_col: str, features: str = "features", *,
                             encoder: Encoder | None = None, estimator: Callable[[int], object] | None = None,
                             test_size: float = TEST_SIZE, seed: int = SEED, C: float = LR_C,
-                            max_iter: int = 1000) -> DataFrame:
+                            max_iter: int = 1000, balanced: bool = False) -> DataFrame:
     """ML12: stratified exact split, blank and unknown labels dropped from both sides (P6),
     both encoded by ``encoder`` (a frame to the same frame with ``features``), a classifier
     fitted and the test side scored (A12).
 
     ``estimator`` maps the number of training rows to the classifier; logistic regression
-    otherwise.  One row: accuracy, precision, recall, f1_score, macro_f1 and the seconds
+    otherwise.  With ``balanced`` either is given the class weights (A18).  One row: accuracy, precision, recall, f1_score, macro_f1 and the seconds
     that encoding either side took."""
     labelled = label_filter(df.withColumn(label_col, strip(F.col(label_col).cast("string"))), label_col)
     s = ev.stratified_split(labelled, id_col, label_col, test_size, seed)
     train, train_sec = _encoded(s.filter("split = 'train'"), encoder, [id_col, label_col], features)
     test, test_sec = _encoded(s.filter("split = 'test'"), encoder, [id_col, label_col], features)
     factory = estimator or (lambda n: logistic_regression(n, C=C, max_iter=max_iter, features=features))
-    pred = fit_predict(train, test, factory, label_col=label_col, features=features)
+    pred = fit_predict(train, test, factory, label_col=label_col, features=features, balanced=balanced)
     return ev.summary_scores(pred.select("y_true", "y_pred")).withColumns({
         "embedding_train_time_sec": F.lit(train_sec), "embedding_test_time_sec": F.lit(test_sec)})
 

@@ -29,6 +29,23 @@ def lr_embeddings(spark, sf_dir):
     return ml.evaluate_classification(_emb_vec(spark, sf_dir), "vec_id", "label", "features")
 
 
+@query("lr_balanced")
+def lr_balanced(spark, sf_dir):
+    """ML3 + A18: the same with balanced class weights and 2,000 iterations at most."""
+    return ml.evaluate_classification(_emb_vec(spark, sf_dir), "vec_id", "label", "features", balanced=True, max_iter=ml.BALANCED_MAX_ITER)
+
+
+@query("model_prediction_sample")
+def model_prediction_sample(spark, sf_dir):
+    """The first 200 test rows with text, true and predicted label of the baseline
+    classifier, trained on the other rows."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label"))
+    s = ev.stratified_split(d, "doc_id", "label")
+    p = ml.baseline_classifier(s.filter("split = 'train'"), "label").transform(s.filter("split = 'test'"))
+    return kpi.first_n(p.select("doc_id", "text", F.col("label").alias("true_label"), F.col("prediction_label").alias("pred_label")),
+                       "doc_id", ml.PREDICTION_SAMPLE)
+
+
 @query("ovr_tfidf")
 def ovr_tfidf(spark, sf_dir):
     """ML1 + ML4: TF-IDF (20,000 terms, min_df 2) + balanced one-vs-rest linear model
@@ -36,8 +53,7 @@ def ovr_tfidf(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("label"))
     s = ev.stratified_split(d, "doc_id", "label")
     train, test = s.filter("split = 'train'"), s.filter("split = 'test'")
-    model = ml.train_text_classifier(train, "label", kind="ovr")
-    p = model.transform(test).select(F.col("label").alias("y_true"), F.col("prediction_label").alias("y_pred"))
+    p = ml.baseline_classifier(train, "label").transform(test).select(F.col("label").alias("y_true"), F.col("prediction_label").alias("y_pred"))
     return ev.summary_scores(p)
 
 
@@ -48,7 +64,7 @@ def rf_priority(spark, sf_dir):
     t = ticket_prep(spark, sf_dir).select("ticket_id", F.col("description").alias("text"), "priority")
     s = ev.stratified_split(t, "ticket_id", "priority")
     train, test = s.filter("split = 'train'"), s.filter("split = 'test'")
-    model = ml.train_text_classifier(train, "priority", kind="rf", max_features=5000, min_df=1.0, ngrams=2)
+    model = ml.priority_classifier(train)
     p = ml.predict_priority(test.withColumnRenamed("priority", "y_true"), "text", model)
     return ev.summary_scores(p.select(F.lower("y_true").alias("y_true"), F.col("priority").alias("y_pred")))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from ticketlake.operators import evaluation as ev
@@ -65,6 +66,33 @@ def tfidf_weights(spark, sf_dir):
                     max_features=tx.BASELINE_MAX_FEATURES, min_df=tx.BASELINE_MIN_DF)
 
 
+@query("term_dictionary", sql=f"""
+WITH dt AS ({_DOC_TERMS})
+SELECT term, (row_number() OVER (ORDER BY n DESC, term) - 1)::INT AS idx, n::BIGINT AS n, df::BIGINT AS df,
+       ln((1 + (SELECT count(*) FROM documents)::DOUBLE) / (1 + df)) + 1 AS idf
+FROM (SELECT term, count(*) AS df, sum(tf) AS n FROM dt GROUP BY term)""")
+def term_dictionary(spark, sf_dir):
+    """ML1: the whole vocabulary as a table, no term left out, numbered over sorted ranges."""
+    return tx.term_table(table(spark, sf_dir, "documents"), "text").terms
+
+
+@query("tfidf_vectors", sql=f"""
+WITH dt AS ({_DOC_TERMS}),
+voc AS (SELECT term, df, row_number() OVER (ORDER BY n DESC, term) - 1 AS idx
+        FROM (SELECT term, count(*) AS df, sum(tf) AS n FROM dt GROUP BY term HAVING count(*) >= 2)),
+nd AS (SELECT count(*)::DOUBLE AS n FROM documents),
+w AS (SELECT doc_id, idx, tf * (ln((1 + nd.n) / (1 + df)) + 1) AS w FROM dt JOIN voc USING (term), nd WHERE idx < 300),
+nr AS (SELECT doc_id, sqrt(sum(w * w)) AS nrm FROM w GROUP BY doc_id)
+SELECT doc_id, idx::INT AS idx, w / nrm AS weight FROM w JOIN nr USING (doc_id)""")
+def tfidf_vectors(spark, sf_dir):
+    """ML1: sparse vectors of the 300 most frequent terms in two documents or more,
+    assembled by joins with the dictionary; here entry by entry."""
+    d = table(spark, sf_dir, "documents")
+    fitted = tx.term_table(d, "text", max_features=300, min_df=tx.BASELINE_MIN_DF)
+    v = tx.vectors(d, "doc_id", "text", fitted)
+    return v.select("doc_id", F.posexplode(vector_to_array("features")).alias("idx", "weight")).where("weight <> 0")
+
+
 @query("confusion_matrix", sql=f"""
 WITH yy AS ({_YY}),
 l AS (SELECT y_true AS label FROM yy UNION SELECT y_pred FROM yy),
