@@ -89,6 +89,21 @@ def test_bpe_equals_tiktoken(codec):
         assert codec.decode(ids) == [t.encode() for t in part]
 
 
+def test_bpe_equals_tiktoken_on_every_code_point(codec):
+    """Each beside letters, digits, apostrophes, blanks and itself."""
+    tiktoken, tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    own = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    for lo in range(0, 0x110000, 0x4000):
+        points = [chr(c) for c in range(lo, lo + 0x4000) if not 0xD800 <= c < 0xE000]
+        if not (lo < 0x34000 or lo >= 0xE0000 and lo < 0xE4000 or lo == 0xF0000):  # unassigned and private planes: a part
+            points = points[::97]
+        texts = [form.replace("_", c) for c in points for form in ("_", "a_b", "1_2", "x'_ '_s", " _ _", "__\n_")]
+        for at in range(0, len(texts), 20000):
+            part = texts[at:at + 20000]
+            for text, got, wanted in zip(part, codec.encode(part), own.encode_ordinary_batch(part, num_threads=2)):
+                assert np.frombuffer(got, np.uint32).tolist() == wanted, [hex(ord(c)) for c in text]
+
+
 def test_long_merge_equals_short_merge(codec):
     rng = random.Random(5)
     for _ in range(50):
@@ -176,7 +191,19 @@ def test_license_blocks():
     scanner = license_scan.Scanner(license_scan.TEMPLATES)
     for name, text in license_scan.TEMPLATES.items():
         assert scanner.best(text)[0] == name and scanner.best(text)[2] == 0
-    name, _, count, diff = scanner.best("Licensed under the Apache License, Version 2.1.")
-    assert (name, count, diff) == ("Apache-2.0", 1, ["-2.0 +2.1"])
+    name, _, count, diff = scanner.best("Released under the MIT terms.")
+    assert (name, count, diff) == ("MIT", 1, ["-license +terms"])
+    # a word that names another license, version or clause, or a denial, is never a free one
+    for text in ("Licensed under the Apache License, Version 2.1.", "Licensed under the Apache License, Version 1.1.", "Released under the Apache License.",
+                 "Released under the BSD License.", "This work is licensed under the GNU General Public License, version 2.",
+                 "This work is licensed under the GNU Lesser General Public License, version 3.", "Licensed under CC BY-ND 4.0.",
+                 "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+                 "This work is licensed under a Creative Commons Attribution 3.0 International License.",
+                 "This work is not licensed under the GNU General Public License, version 3.", "No rights reserved.", "Not released under the MIT License."[4:].replace("the", "no")):
+        assert scanner.best(text) is None, text
+    near = scanner.blocks("Licensed under the Apache License, Version 1.1.")
+    assert [(x[2], x[4], x[5], x[6]) for x in near] == [("Apache-2.0", 1, ["-2.0 +1.1"], True)]
     assert scanner.best("A license for nothing but driving, issued by the county office on request") is None
     assert scanner.best("") is None or scanner.best("")[2] == 0
+    many = scanner.blocks("Released under the MIT License. Licensed under the BSD License, Version 2.0.\n" * 500)
+    assert [(x[2], x[6]) for x in many] == [("MIT", False), ("Apache-2.0", True)] * 500

@@ -15,7 +15,6 @@ their offsets in one vocabulary buffer.
 from __future__ import annotations
 
 import base64
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +35,6 @@ N_SYMBOLS = 9
 # States: nothing open; inside letters, numbers, others, white space; a blank that the next
 # piece takes along; one or two letters of a contraction still to come.
 FRESH, IN_L, IN_N, IN_O, IN_W, JOIN, ONE, TWO = range(8)
-# White space of Unicode (property White_Space): fixed values.
-WHITE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 CACHE = 1 << 18
 _ONE, _TWO = b"stmd", (b"re", b"ve", b"ll")
 
@@ -167,6 +164,23 @@ def _merge_long(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
     return [piece[i:e] for i, e in enumerate(end) if e]
 
 
+def class_table() -> np.ndarray:
+    """The class of every code point, as the reference library tells them apart: which are
+    letters and which numbers depends on its version of Unicode, not on the interpreter's.
+    It is asked once per worker, with all code points in blocks."""
+    import tiktoken
+
+    table = np.full(0x110000, OTHER, np.uint8)
+    single = {bytes([b]): b for b in range(256)}
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (SPACE, r"\s")):
+        found = tiktoken.Encoding(f"class {kind}", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+        for lo in range(0, 0x110000, 0x1000):
+            block = "".join(map(chr, range(lo, lo + 0x1000))) if not 0xD000 <= lo < 0xE000 else "".join(map(chr, range(lo, min(lo + 0x1000, 0xD800))))
+            if block:  # surrogates are no characters
+                table[[ord(c) for c in found.decode(found.encode_ordinary(block))]] = kind
+    return table
+
+
 class Codec:
     """Encoder and decoder for one rank file (lines: base64 token, blank, rank)."""
 
@@ -182,15 +196,7 @@ class Codec:
         self.compose[k, :], self.compose[:, k] = np.arange(k + 1), np.arange(k + 1)
         self.apply = np.vstack((self.apply, np.arange(8, dtype=np.uint8)))
         self.symbol, self.identity = symbol, k
-        table = np.full(0x110000, OTHER, np.uint8)
-        for cp in range(0x110000):
-            kind = unicodedata.category(chr(cp))[0]
-            if kind == "L":
-                table[cp] = LETTER
-            elif kind == "N":
-                table[cp] = NUMBER
-        table[WHITE] = SPACE
-        self.table = table
+        self.table = class_table()
         by_id = sorted(self.ranks.items(), key=lambda x: x[1])
         if [r for _, r in by_id] != list(range(len(by_id))):
             raise ValueError("ranks are not 0, 1, 2, ...")
