@@ -5,7 +5,9 @@ import os
 import random
 import shutil
 import zlib
+from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -17,7 +19,7 @@ from ticketlake.llm import (
 )
 
 LONG = " ".join(f"long{k % 977} word{k % 31}" for k in range(20000))
-CLASH = "doc_id long, text string, id long, key long, line string, __hits string, n string, label int"
+CLASH = "doc_id long, text string, id long, key long, __lines string, __hits string, __line_parts string, label int"
 
 
 def roots(nodes, pairs):
@@ -91,6 +93,18 @@ def test_ngram_join_without_ids_or_rows(spark):
     assert ngram_join.jaccard_classes(df.limit(0)).count() == 0
 
 
+def test_ngram_join_of_one_id_with_two_texts(spark):
+    a, b = ([f"{c}{k}" for k in range(60)] for c in "ab")
+    near = lambda words, k: " ".join(words[:k] + ["other"] + words[k + 1:])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a, 3)), (3, near(b, 3)), (4, " ".join(b))]
+    rows += [(20, "x y z"), (21, "x y z"), (21, "p q r"), (22, "p q r")]  # the id isn't the smallest of both its classes
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = ngram_join.jaccard_classes(df).collect()
+    assert sorted((r.doc_id, r.n_links, r.component_id) for r in got) == [
+        (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (20, 1, 20), (21, 1, 20), (21, 1, 20), (22, 1, 20)]
+    assert sorted(r.doc_id for r in ngram_join.drop_near_copies(df).collect()) == [1, 20]
+
+
 def test_line_dedup(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK", 8)  # hot keys go through block cells
     monkeypatch.setattr(line_dedup, "CELL", 16)
@@ -152,9 +166,10 @@ def test_line_dedup_of_long_lines(spark, monkeypatch):
     first = {}
     for k, x in enumerate(lines):
         first.setdefault(wanted[x], k)
-    for block, cell in ((64, 256), (8, 16)):  # the second sends keys through the classes and the cells
+    for block, cell, many in ((64, 256, 4096), (4, 16, 12)):  # the second sends keys through classes, centres and cells
         monkeypatch.setattr(line_dedup, "BLOCK", block)
         monkeypatch.setattr(line_dedup, "CELL", cell)
+        monkeypatch.setattr(line_dedup, "MANY", many)
         got = {r.id: r.lines[0].first_doc for r in line_dedup.line_classes(df).collect()}
         assert got == {k: first[wanted[x]] for k, x in enumerate(lines)}
 
@@ -235,7 +250,7 @@ def test_decontamination(spark):
     items = [(k, " ".join(f"q{k}w{j}" for j in range(12))) for k in range(20)] + [(20, None), (21, ""), (0, "q0w0 q0w1")]
     texts = [" ".join(["some", "other", "words"] * 20 + [items[k][1].upper()] + ["tail"] * 50) for k in range(10)]
     texts += ["nothing here", " ".join(items[3][1].split()[:4])]
-    df = spark.createDataFrame(odd_rows(texts), CLASH.replace("__hits", "hits"))
+    df = spark.createDataFrame(odd_rows(texts), CLASH)
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     got = decontaminate.find_leaks(df, benchmark)
     found = {r.doc_id: [h.item for h in r[decontaminate.HITS]] for r in got.collect()}
@@ -291,14 +306,20 @@ def test_chat_formatting_of_odd_rows(spark):
 
 
 def brute_vectors(rows, threshold=0.9):
-    fine = [(i, np.array(v, float)) for i, v in rows if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    links, pairs = {i: 0 for i, _ in rows}, []
+    """Links of every row and the smallest id of its component; rows may repeat an id."""
+    fine = [(k, np.array(v, float)) for k, (_, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    links, pairs = [0] * len(rows), []
     for a, x in fine:
         for b, y in fine:
             if a != b and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= threshold:
                 links[a] += 1
                 pairs.append((a, b))
-    return links, roots([i for i, _ in rows], pairs)
+    root = roots(range(len(rows)), pairs)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        if i is not None:
+            least[root[k]] = min(i, least.get(root[k], i))
+    return Counter((i, links[k], least.get(root[k]), i == least.get(root[k])) for k, (i, _) in enumerate(rows))
 
 
 def test_near_vectors(spark, monkeypatch):
@@ -309,20 +330,33 @@ def test_near_vectors(spark, monkeypatch):
     rows = [(i, (base[rng.integers(12)] + rng.normal(size=6) * rng.choice([0.05, 0.2, 0.4])).astype("float32").tolist()) for i in range(400)]
     nan, inf = float("nan"), float("inf")
     rows += [(2000, None), (2001, [0.0] * 6), (2002, [nan] * 6), (2003, [1.0, None, 0.0]), (2004, [1.0, 0.0]), (2005, [2.0, 0.0]), (2006, []), (2007, [inf, 1.0])]
-    df = spark.createDataFrame(rows + rows[:3] + [(None, [1.0, 0.0])], "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "2 as cell")
+    rows += rows[:3] + [(None, [1.0, 0.0]), (None, [0.0, 1.0]), (3000, None)]
+    rows += [(3001, [1.0, 0.0, 0.0]), (3001, [0.0, 1.0, 0.0]), (3002, [1.0, 0.01, 0.0]), (3003, [0.0, 1.0, 0.02])]  # one id, two vectors
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as id", "2 as cell", "3 as name", "4 as root")
     got = vector_dedup.near_vectors(df).collect()
-    links, component = brute_vectors(rows)
-    assert len(got) == len(rows) + 1
-    for r in got:
-        if r.vec_id is not None:
-            assert (r.n_links, r.component_id, r.kept) == (links[r.vec_id], component[r.vec_id], component[r.vec_id] == r.vec_id), r
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == brute_vectors(rows)
+    assert sorted((r.n_links, r.component_id) for r in got if r.vec_id in (3001, 3002, 3003)) == [(1, 3001)] * 4
     assert vector_dedup.near_vectors(df.limit(0)).count() == 0
 
 
 def test_near_vectors_of_the_table(spark, sf_dir):
     got = queries.op9_embedding_near_dedup(spark, sf_dir).collect()
-    links, component = brute_vectors([(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()])
-    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(i, links[i], component[i]) for i in links}
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    assert Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == brute_vectors(rows)
+
+
+def test_near_vectors_equal_their_sql_where_vectors_link(spark, tmp_path):
+    """The given vectors hardly link; the same query and SQL over tight groups and odd rows."""
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(15, 8))
+    rows = [(i, (base[i % 15] + rng.normal(size=8) * rng.choice([0.02, 0.3])).astype("float32").tolist(), 0) for i in range(200)]
+    rows += [(500, None, 1), (501, [0.0] * 8, 1), (502, [1.0, 0.0], 1), (503, [float("nan")] * 8, 1)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    df = queries.op9_embedding_near_dedup(spark, str(tmp_path))
+    ok, message = compare(df, con, queries.oracle_sql()["op9_embedding_near_dedup"])
+    assert ok and df.where("n_links > 0").count() > 100, message
 
 
 def test_license_scan(spark):

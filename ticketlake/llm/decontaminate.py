@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ticketlake.llm.kernels import Words, as_long, pieces
-from ticketlake.llm.spark import bounded_batches
+from ticketlake.llm.spark import bounded_batches, fresh
 from ticketlake.session import materialize
 
 K1, B = 1.2, 0.75
@@ -263,18 +263,20 @@ def indexes(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[Index]
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                item_text: str = "text", threshold: float = THRESHOLD, question_share: float = QUESTION_SHARE,
-               answer_share: float = ANSWER_SHARE) -> DataFrame:
-    """One row per row of ``docs``: all its columns plus ``__hits``, array<struct<item,
-    score, question, answer>> of the verified items, by item.
+               answer_share: float = ANSWER_SHARE, hits_col: str = HITS) -> DataFrame:
+    """One row per row of ``docs``: all its columns plus ``hits_col``, array<struct<item,
+    score, question, answer>> of the verified items, by item.  A column of that name is
+    replaced.
 
     Null and empty texts have no hits; items without words match nothing; an item without
     id is reported with a null id.  Repeated rows are searched alike; items that repeat an
     id give one hit, the best.  An empty benchmark gives empty lists."""
     bounded_batches(docs.sparkSession)
+    docs = docs.drop(hits_col)
     hit = pa.struct([("item", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())])
     sc = docs.sparkSession.sparkContext
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    fields += f", {HITS} array<struct<item: bigint, score: double, question: double, answer: double>>"
+    fields += f", `{hits_col}` array<struct<item: bigint, score: double, question: double, answer: double>>"
 
     def search_with(index, later: bool):
         """Pass of one part; a later one adds to the hits of those before."""
@@ -292,7 +294,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                             mine[x["item"]] = max(mine.get(x["item"], what), what)
                 rows = [[(i, *v) for i, v in sorted(h.items(), key=lambda x: (x[0] is None, x[0] or 0))] for h in found]
                 rows = [[dict(zip(("item", "score", "question", "answer"), r)) for r in row] for row in rows]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, pa.list_(hit))], names=[*names, HITS])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(rows, pa.list_(hit))], names=[*names, hits_col])
 
         return run
 
@@ -309,4 +311,5 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """``docs`` without the rows that hold a verified test item."""
-    return find_leaks(docs, benchmark, **options).where(F.size(HITS) == 0).drop(HITS)
+    hits = fresh(HITS, docs.columns)
+    return find_leaks(docs, benchmark, hits_col=hits, **options).where(F.size(hits) == 0).drop(hits)

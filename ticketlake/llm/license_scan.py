@@ -9,11 +9,16 @@ Cut into d+1 pieces, a template has one piece that d differences leave whole.  O
 documents with a piece of a template are aligned, and only around the piece, which loses
 nothing.  The stretch, called block, is compressed alone and with the template as zstandard
 raw dictionary; of blocks that overlap, the one with the largest share of bytes saved stays.
+
+Some words decide which license a notice is: names, versions, clause letters, and a "not".
+A stretch that differs in one of these is near to the template but isn't its license; it is
+reported as ``near`` and counts for no license.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,6 +48,12 @@ TEMPLATES = {
     "BSD-3-Clause text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
     "Unlicense text": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org>""",
 }
+# Words that decide which license is meant: names of licenses and their parts, denials.
+NAMES = re.compile(
+    r"(apache|mit|isc|bsd|gnu|gpl|lgpl|agpl|lesser|affero|general|mozilla|mpl|eclipse|artistic|boost|zlib|creative|commons|cc|cc0|public|domain|unlicense"
+    r"|attribution(-\w+)*|share-?alike|non-?commercial|no-?derivatives|by(-(nc|sa|nd))+|nc|sa|nd|x11|clear|sleepycat|(l|a)?gplv?\d\S*)")
+DENIALS = {"not", "no", "never", "cannot", "isn't", "nobody", "neither", "nor"}
+VERSION_BEFORE = {"version", "v", "v.", "license", "licence", "gpl", "by", "clause"}
 MAX_DIFF = 0.2
 LEVEL = 3
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
@@ -96,6 +107,22 @@ def align(a: list[str], b: list[str], most: int) -> tuple[int, int, int, list[st
     return j, end, least, out[::-1]
 
 
+def deciding(words: list[str], diff: list[str]) -> bool:
+    """Whether one of the differences changes the license: a name or denial comes or goes, a
+    version of the template (a number after a name or ``version``, or one with a dot) goes,
+    or another one comes in its place."""
+    versions = {w for before, w in zip(["", *words], words)
+                if w[0].isdigit() and ("." in w or before in VERSION_BEFORE or NAMES.fullmatch(before))}
+    for change in diff:
+        parts = change.split(" ")
+        gone, come = [p[1:] for p in parts if p[0] == "-"], [p[1:] for p in parts if p[0] == "+"]
+        if any(NAMES.fullmatch(w) or w in DENIALS for w in (*gone, *come)):
+            return True
+        if any(w in versions for w in gone) or any(w[:1].isdigit() and "." in w for w in come):
+            return True
+    return False
+
+
 class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.words = {name: w for name, text in templates.items() if (w := words_of(text))}
@@ -126,8 +153,10 @@ class Scanner:
 
     def blocks(self, text: str, gated: bool = True) -> list[tuple[int, str, str, float, int, list[str]]]:
         """(place in the text, block, template, share of bytes saved, differing words,
-        differences) of the confirmed blocks.  Equal savings: the smaller difference, then
-        the template's name.  Without the gate all of the text is aligned."""
+        differences, near) of the confirmed blocks and of those that are only near.  Of
+        blocks that overlap a confirmed one stays, then the one that saves most; equal
+        savings: the smaller difference, then the template's name.  Without the gate all of
+        the text is aligned."""
         if gated and self.needed is not None:
             low = text.lower()
             if not any(w in low for w in self.needed):
@@ -146,18 +175,19 @@ class Scanner:
             windows = {name: [(0, len(words))] for name in self.words}
         found = []
         for name, todo in windows.items():
-            taken: list[tuple[int, int]] = []
+            taken: list[tuple[int, int]] = []  # disjoint stretches in order
             todo = sorted(set(todo), reverse=True)
             while todo:
                 lo, hi = todo.pop()
-                for s, e in taken:  # what a stretch has already covered
-                    if s <= lo < e:
-                        lo = e
-                    if s < hi <= e:
-                        hi = s
-                inside = next(((s, e) for s, e in taken if lo < s and e < hi), None)
-                if inside:
-                    todo += [(inside[1], hi), (lo, inside[0])]
+                k = bisect_right(taken, lo, key=lambda x: x[0])
+                if k and taken[k - 1][1] > lo:  # what a stretch has already covered
+                    lo = taken[k - 1][1]
+                k = bisect_left(taken, hi, key=lambda x: x[0])
+                if k and taken[k - 1][0] >= lo and taken[k - 1][1] >= hi:
+                    hi = taken[k - 1][0]
+                k = bisect_left(taken, lo, key=lambda x: x[0])
+                if k < len(taken) and taken[k][1] <= hi:
+                    todo += [(taken[k][1], hi), (lo, taken[k][0])]
                     continue
                 m = len(self.words[name])
                 if hi - lo < max(1, m - allowed(m)):
@@ -165,22 +195,24 @@ class Scanner:
                 if (got := align(self.words[name], words[lo:hi], allowed(m))) is None:
                     continue
                 s, e, count, diff = got[0] + lo, got[1] + lo, got[2], got[3]
-                taken.append((s, e))
+                insort(taken, (s, e))
                 todo += [(e, hi), (lo, s)]
                 begin, end = spans[s][0], END.match(text, spans[e - 1][1]).end()
-                found.append((-self.saved(name, text[begin:end]), count, name, s, e, begin, text[begin:end], diff))
+                near = deciding(self.words[name], diff)
+                found.append((near, -self.saved(name, text[begin:end]), count, name, s, e, begin, text[begin:end], diff))
         out, used = [], []
-        for share, count, name, s, e, begin, block, diff in sorted(found):
-            if all(e <= x or y <= s for x, y in used):
-                used.append((s, e))
-                out.append((begin, block, name, -share, count, diff))
+        for near, share, count, name, s, e, begin, block, diff in sorted(found):
+            k = bisect_right(used, s, key=lambda x: x[0])
+            if (not k or used[k - 1][1] <= s) and (k == len(used) or e <= used[k][0]):
+                used.insert(k, (s, e))
+                out.append((begin, block, name, -share, count, diff, near))
         return sorted(out)
 
     def best(self, block: str) -> tuple[str, float, int, list[str]] | None:
-        """(template, share of bytes saved, differing words, differences) of the block of
-        a text that saves most, or None."""
-        found = self.blocks(block)
-        return min(((x[2:]) for x in found), key=lambda x: (-x[1], x[2], x[0])) if found else None
+        """(template, share of bytes saved, differing words, differences) of the confirmed
+        block of a text that saves most, or None."""
+        found = [x[2:6] for x in self.blocks(block) if not x[6]]
+        return min(found, key=lambda x: (-x[1], x[2], x[0])) if found else None
 
 
 def _scan(templates: dict[str, str]):
@@ -189,19 +221,22 @@ def _scan(templates: dict[str, str]):
         for batch in pieces(batches, "text"):
             rows = []
             for doc, text in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                at = line = 0
                 for begin, *hit in scanner.blocks(text or ""):
-                    rows.append((doc, text.count("\n", 0, begin), *hit, begin))
-            cols = list(zip(*rows)) if rows else [[]] * 8
-            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.string()), pa.int64()]
+                    line, at = line + text.count("\n", at, begin), begin
+                    rows.append((doc, line, *hit, begin))
+            cols = list(zip(*rows)) if rows else [[]] * 9
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.float64(), pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.int64()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "pos", "block", "license", "saved", "n_diff", "diff", "start"])
+                [pa.array(c, k) for c, k in zip(cols, kinds)], names=["id", "pos", "block", "license", "saved", "n_diff", "diff", "near", "start"])
 
     return run
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None) -> DataFrame:
-    """One row per confirmed block: id, pos (number of the line it begins in), block,
-    license, saved, n_diff, diff, start (its place in the text).
+    """One row per block: id, pos (number of the line it begins in), block, license, saved,
+    n_diff, diff, near (the block differs in a deciding word and isn't this license), start
+    (its place in the text).
 
     Null and empty texts have no blocks.  Rows that repeat an id are scanned alike and
     give repeated results, a row without id gives results without id.  Other columns are
@@ -210,7 +245,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     templates = TEMPLATES if templates is None else templates
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = plain.mapInArrow(
-        _scan(templates), "id long, pos int, block string, license string, saved double, n_diff long, diff array<string>, start long")
+        _scan(templates), "id long, pos int, block string, license string, saved double, n_diff long, diff array<string>, near boolean, start long")
     return found.withColumnRenamed("id", id_col)
 
 
@@ -218,7 +253,7 @@ def document_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """One row per row of ``docs``: id, n_blocks, licenses (sorted, distinct), n_diff (of
     all blocks).  A document without a confirmed block has 0, an empty list and 0; so has
     a row without id, whose blocks can't be told from other rows'."""
-    hits = (scan(docs, id_col, text_col, templates).where(F.col(id_col).isNotNull())
+    hits = (scan(docs, id_col, text_col, templates).where(F.col(id_col).isNotNull() & ~F.col("near"))
             .dropDuplicates([id_col, "start", "block"])
             .groupBy(F.col(id_col).alias("_id"))
             .agg(F.count("*").alias("n_blocks"), F.sort_array(F.collect_set("license")).alias("licenses"), F.sum("n_diff").alias("n_diff")))

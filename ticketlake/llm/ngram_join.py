@@ -93,7 +93,8 @@ def _verify(threshold: float):
     """One cell: links between its left and its right block (or inside one block)."""
 
     def run(table: pa.Table) -> pa.Table:
-        _, first = np.unique(table["node"].to_numpy(), return_index=True)
+        # a class once; an id with two texts is the node of two classes
+        _, first = np.unique(np.stack([table["fp1"].to_numpy(), table["fp2"].to_numpy()]), axis=1, return_index=True)
         table = table.take(pa.array(first))
         node, weight = table["node"].to_numpy(), table["copies"].to_numpy()
         left = table["left"].to_numpy(zero_copy_only=False)
@@ -128,7 +129,7 @@ def _verify(threshold: float):
             if (new == label).all():
                 break
             label = new
-        return pa.table({"node": pa.array(node), "links": pa.array(links.astype(np.int64)),
+        return pa.table({"fp1": table["fp1"], "fp2": table["fp2"], "node": pa.array(node), "links": pa.array(links.astype(np.int64)),
                          "to": pa.array(node[label])}).filter(pa.array(links > 0))
 
     return run
@@ -175,24 +176,28 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     around = blocks.join(above, ["root", "sb"], "left").join(below, ["root", "sb"], "left").na.fill(0)
     placed = member.join(around, ["root", "sb"]).withColumn("blk", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
     cells = placed.select(
-        "node", "copies", "n", "fp1", "root", F.explode(F.expr("""concat(
+        "node", "copies", "n", "fp1", "fp2", "root", F.explode(F.expr("""concat(
           transform(sequence(0, nb - 1), x -> struct(sb as sa, least(blk, x) as ba, sb as sz, greatest(blk, x) as bz, blk <= x as left, blk >= x as right)),
           if(nb_up > 0, transform(sequence(0, nb_up - 1), x -> struct(sb as sa, blk as ba, sb + 1 as sz, x as bz, true as left, false as right)), array()),
           if(nb_down > 0, transform(sequence(0, nb_down - 1), x -> struct(sb - 1 as sa, x as ba, sb as sz, blk as bz, false as left, true as right)), array()))
-          """)).alias("cell")).select("node", "copies", "n", "fp1", "root", "cell.*")
+          """)).alias("cell")).select("node", "copies", "n", "fp1", "fp2", "root", "cell.*")
 
     again = plain.where("id is not null").join(group.select(F.col("node").alias("id")), "id", "left_semi")
     again = again.unionByName(plain.where("id is null"))
     sets = again.mapInArrow(_signatures(n, bands, rows, True), schema + ", grams array<long>")
     found = materialize(
-        cells.join(sets.select(F.col("key").alias("node"), "fp1", "grams"), ["node", "fp1"])
+        cells.join(sets.select(F.col("key").alias("node"), "fp1", "fp2", "grams"), ["node", "fp1", "fp2"])
         .groupBy("root", "sa", "ba", "sz", "bz")
-        .applyInArrow(_verify(threshold), "node long, links long, to long"))
-
-    degree = found.groupBy("node").agg(F.sum("links").alias("links"))
-    root = components(found, "node", "to")
+        .applyInArrow(_verify(threshold), "fp1 long, fp2 long, node long, links long, to long"))
+
+    degree = found.groupBy("fp1", "fp2").agg(F.sum("links").alias("links"))
+    # an id with several texts joins their classes
+    several = sign.where("id is not null").groupBy("id").agg(F.min("fp1").alias("low"), F.max("fp1").alias("high")).where("low <> high")
+    owned = sign.join(several, "id", "left_semi").join(classes, ["fp1", "fp2"]).select("id", "node")
+    same_id = owned.join(owned.groupBy("id").agg(F.min("node").alias("to")), "id").select("node", "to")
+    root = components(found.select("node", "to").union(same_id), "node", "to")
     per_class = (
-        classes.select("fp1", "fp2", "node", "copies").join(degree, "node", "left").join(root, "node", "left")
+        classes.select("fp1", "fp2", "node", "copies").join(degree, ["fp1", "fp2"], "left").join(root, "node", "left")
         .select("fp1", "fp2", F.col("node").alias("class_id"),
                 (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
                 F.coalesce("root", "node").alias("component_id")))

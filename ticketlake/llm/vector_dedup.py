@@ -152,19 +152,20 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     ``n_links`` counts the other vectors with cosine >= threshold (0 < threshold < 1),
     ``component_id`` is the smallest id reachable over links, ``kept`` whether that is the
     vector's own.  Null, empty and zero vectors and those with a null, NaN or infinite
-    component link with nothing, nor do vectors of different lengths.  Rows that repeat an
-    id are one vector (its smallest value); a row without id links with nothing and keeps
-    a null component.  Other columns, labels among them, are ignored."""
+    component link with nothing, nor do vectors of different lengths.  Every row is a
+    vector: rows that repeat an id are vectors of that name, which link like others.  A row
+    without id links too, but names no component; one of only such rows is null.  Other
+    columns, labels among them, are ignored."""
     spark = vectors.sparkSession
     radius = math.sqrt(2 - 2 * threshold)
-    plain = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
-    one = materialize(plain.where("id is not null").groupBy("id").agg(F.min("v").alias("v")))
+    plain = vectors.select(F.col(id_col).cast("long").alias("name"), F.col(vector_col).cast("array<double>").alias("v"))
+    one = materialize(plain.withColumn("id", F.monotonically_increasing_id()))  # a row is a vector, whatever its name
     total = one.count()
-    sample = one.where("size(v) > 0").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()
+    sample = one.where("size(v) > 0").orderBy(F.xxhash64("name", "id"), "id").limit(SAMPLE).select("v").toArrow()
     usable = [x for x in _matrix(sample["v"].combine_chunks()) if x is not None] if sample.num_rows else []
     pivots = choose_pivots(usable, radius, min(MAX_PIVOTS, max(1, math.ceil(total / HOME))))
 
-    placed = materialize(one.mapInArrow(
+    placed = materialize(one.select("id", "v").mapInArrow(
         _assign(pivots, radius), "id long, x binary, dim int, cell int, ring int, visits array<struct<j: int, lo: int, hi: int>>"))
     rings = materialize(placed.groupBy("dim", "cell", "ring").agg(F.ceil(F.count("*") / HOME).cast("int").alias("blocks")))
     # broadcast: at most MAX_PIVOTS cells of a few rings for each vector length
@@ -190,7 +191,9 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     degree = found.groupBy(F.col("node").alias("id")).agg(F.sum("links").alias("links"))
     root = components(found, "node", "to").select(F.col("node").alias("id"), "root")
-    done = one.select("id").join(degree, "id", "left").join(root, "id", "left").select(
-        F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("root", "id").alias("component_id"))
-    nameless = plain.where("id is null").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    return done.unionByName(nameless).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    linked = materialize(one.select("id", "name").join(degree, "id", "left").join(root, "id", "left"))
+    least = linked.where("root is not null").groupBy("root").agg(F.min("name").alias("least"))
+    return linked.join(least, "root", "left").select(
+        F.col("name").alias(id_col), F.coalesce("links", F.lit(0)).alias("n_links"),
+        F.when(F.col("root").isNull(), F.col("name")).otherwise(F.col("least")).alias("component_id")).withColumn(
+        "kept", F.col(id_col).eqNullSafe(F.col("component_id")))
