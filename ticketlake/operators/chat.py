@@ -136,12 +136,11 @@ def sorted_ranges(df: DataFrame, *order: Column | str) -> DataFrame:
     return materialize(df.orderBy(*order).withColumn("_range", F.spark_partition_id()))
 
 
-def numbered_newest_first(df: DataFrame, key: str, ts_col: str, tie_col: str, name: str = "idx") -> DataFrame:
-    """Number each key's rows from 1, newest first (a null key is a key).
+def numbered(df: DataFrame, key: str, order: Sequence[Column], name: str = "idx") -> DataFrame:
+    """Number each key's rows from 1 in the given order (a null key is a key).
 
     A row's number is its place among the key's rows of its sorted range plus the key's
-    rows in the ranges before, so one user's rows are never one task."""
-    order = [F.col(ts_col).desc_nulls_last(), F.col(tie_col).asc()]
+    rows in the ranges before, so a key with a third of all rows is never one task."""
     ranges = sorted_ranges(df, F.col(key), *order)
     sizes = ranges.groupBy(F.col(key).alias("_key"), F.col("_range").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select("_key", "_r", (F.sum("_n").over(Window.partitionBy("_key").orderBy("_r")) - F.col("_n")).alias("_before"))
@@ -151,6 +150,11 @@ def numbered_newest_first(df: DataFrame, key: str, ts_col: str, tie_col: str, na
             .withColumn(name, F.col("_before") + F.col("_here")).drop("_range", "_here", "_key", "_r", "_before"))
 
 
+def numbered_newest_first(df: DataFrame, key: str, ts_col: str, tie_col: str, name: str = "idx") -> DataFrame:
+    """Each key's rows numbered from 1, newest first."""
+    return numbered(df, key, [F.col(ts_col).desc_nulls_last(), F.col(tie_col).asc()], name)
+
+
 def with_previous(df: DataFrame, key: str, order_cols: Sequence[str], col: str, name: str = "_prev") -> DataFrame:
     """``lag`` of ``col`` over the key's rows (a null key is a key) in the order of the given
     columns, by sorted ranges: the key's first row of a range takes the last one of the

@@ -129,6 +129,24 @@ def boxplot_stats(df: DataFrame, value_col: str, group_col: str) -> DataFrame:
     )
 
 
+KLL_K = 200  # size of a quantile sketch: normalised rank error about 1.65 % (Spark's default)
+
+
+def quantile_sketches(df: DataFrame, value_col: str, keys: Sequence[str], k: int = KLL_K) -> DataFrame:
+    """A7 at scale, by the caller's choice: one mergeable KLL sketch per key (model and day, say),
+    with the number of values.  Null and NaN are in no sketch.  Stored as a table, the
+    sketches answer for any range of keys without the rows (``sketched_quantiles``)."""
+    v = F.col(value_col).cast("double")
+    rows = df.select(*keys, v.alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.kll_sketch_agg_double("_v", F.lit(k)).alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, keys: Sequence[str], probs: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """(keys..., n, q0, q1, ... in the order of ``probs``) of the merged sketches of each key."""
+    merged = sketches.groupBy(*keys).agg(F.sum("n").alias("n"), F.kll_merge_agg_double("sketch").alias("_s"))
+    return merged.select(*keys, "n", *[F.kll_sketch_get_quantile_double("_s", F.lit(float(p))).alias(f"q{i}") for i, p in enumerate(probs)])
+
+
 def histogram(df: DataFrame, value_col: str, bins: int = 20) -> DataFrame:
     """Equal-width histogram over [min, max] (last bin closed) plus the median.
 

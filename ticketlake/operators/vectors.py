@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ticketlake.functions.scalar import COSINE_EPS, cosine, l2_normalise  # noqa: F401  (re-export)
+from ticketlake.operators.evaluation import first_k_per_class
 from ticketlake.operators.retrieval import NO_MATCH_ANSWER, NO_MATCH_SCORE  # noqa: F401
 from ticketlake.session import materialize
 
@@ -157,14 +158,47 @@ def mean_vector(df: DataFrame, group: str, vec: str, mask: str | None = None) ->
 # ======================================================================================
 
 def silhouette(df: DataFrame, id_col: str, label_col: str, vec: str, *,
-               block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+               block_rows: int = DEFAULT_BLOCK_ROWS, sample_size: int | None = None, seed: int = 42) -> DataFrame:
     """Exact mean silhouette with Euclidean distance (T18), one row
     (silhouette, n_points, n_clusters).  Singleton clusters score 0; NaN when the
     number of clusters is not in [2, n-1].  Pairwise distances are summed per
-    (point, other cluster) inside grid cells and merged by an aggregate."""
+    (point, other cluster) inside grid cells and merged by an aggregate.
+
+    With ``sample_size`` about that many points, drawn in proportion from every cluster (two
+    at least, by a hash of id and ``seed``), are scored against all points: work grows with
+    n, not with its square.  The row then also has ``standard_error`` (of the stratified
+    mean, 0 when every point was drawn) and ``n_scored``."""
     pts = df.select(F.col(id_col).alias("_i"), F.col(label_col).alias("_c"), F.col(vec).alias("_v")) \
         .filter(F.col("_v").isNotNull())
-
+    if sample_size is None:
+        per_point, n = _silhouette_points(pts, pts, block_rows), _cluster_sizes(pts)
+        mean_s = per_point.agg(F.avg("s").alias("silhouette"))
+        return n.join(mean_s, how="left").select(_if_defined("silhouette"), "n_points", "n_clusters")
+    total = pts.count()
+    share = min(1.0, sample_size / max(total, 1))
+    drawn = materialize(first_k_per_class(pts, "_i", F.col("_c"), lambda c: F.least(c, F.greatest(F.ceil(c * share), F.lit(2))), seed)
+                        .where("_in").drop("_in"))
+    scored = _silhouette_points(drawn, pts, block_rows)
+    sizes = pts.groupBy("_c").agg(F.count(F.lit(1)).alias("_nc"))
+    strata = scored.groupBy("_c").agg(F.count(F.lit(1)).alias("_m"), F.avg("s").alias("_mean"), F.var_samp("s").alias("_var")).join(sizes, "_c")
+    weight = F.col("_nc") / F.lit(float(max(total, 1)))
+    mean = strata.agg(
+        F.sum(weight * F.col("_mean")).alias("silhouette"), F.sum("_m").alias("n_scored"),
+        F.sqrt(F.sum(weight * weight * F.coalesce("_var", F.lit(0.0)) / F.col("_m") * (1 - F.col("_m") / F.col("_nc")))).alias("standard_error"))
+    return _cluster_sizes(pts).join(mean, how="left").select(
+        _if_defined("silhouette"), "n_points", "n_clusters", _if_defined("standard_error"), F.coalesce("n_scored", F.lit(0)).alias("n_scored"))
+
+
+def _cluster_sizes(pts: DataFrame) -> DataFrame:
+    return pts.agg(F.count(F.lit(1)).alias("n_points"), F.count_distinct("_c").alias("n_clusters"))
+
+
+def _if_defined(name: str) -> Column:
+    return F.when((F.col("n_clusters") >= 2) & (F.col("n_clusters") <= F.col("n_points") - 1), F.col(name)).otherwise(F.lit(float("nan"))).alias(name)
+
+
+def _silhouette_points(scored: DataFrame, pts: DataFrame, block_rows: int) -> DataFrame:
+    """(_i, _c, s): the silhouette of every point of ``scored`` among all of ``pts``."""
     def cell(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"_i": pd.Series([], dtype="int64"), "_c": pd.Series([], dtype="int64"),
                               "_oc": pd.Series([], dtype="int64"), "dsum": pd.Series([], dtype="float64"),
@@ -192,22 +226,17 @@ def silhouette(df: DataFrame, id_col: str, label_col: str, vec: str, *,
         return pd.concat(outs, ignore_index=True) if outs else empty
 
     right = pts.select(F.col("_i").alias("_ri"), F.col("_c").alias("_rc"), F.col("_v").alias("_rv"))
-    parts = block_grid(pts, right, "_i", "_ri", cell, "_i long, _c long, _oc long, dsum double, cnt long",
+    parts = block_grid(scored, right, "_i", "_ri", cell, "_i long, _c long, _oc long, dsum double, cnt long",
                        block_rows=block_rows)
     per = parts.groupBy("_i", "_c", "_oc").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
     own = per.filter(F.col("_c") == F.col("_oc"))
-    a = own.select("_i", F.col("cnt").alias("n_own"),
+    a = own.select("_i", "_c", F.col("cnt").alias("n_own"),
                    F.when(F.col("cnt") > 1, F.col("dsum") / (F.col("cnt") - 1)).alias("a"))
     b = per.filter(F.col("_c") != F.col("_oc")).groupBy("_i").agg(F.min(F.col("dsum") / F.col("cnt")).alias("b"))
-    s = a.join(b, "_i", "left").select(
-        F.when((F.col("n_own") <= 1) | F.col("b").isNull(), F.lit(0.0))
+    return a.join(b, "_i", "left").select(
+        "_i", "_c", F.when((F.col("n_own") <= 1) | F.col("b").isNull(), F.lit(0.0))
         .otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
         .alias("s"))
-    n = pts.agg(F.count(F.lit(1)).alias("n_points"), F.count_distinct("_c").alias("n_clusters"))
-    mean_s = s.agg(F.avg("s").alias("silhouette"))
-    return n.join(mean_s, how="left").select(
-        F.when((F.col("n_clusters") >= 2) & (F.col("n_clusters") <= F.col("n_points") - 1), F.col("silhouette"))
-        .otherwise(F.lit(float("nan"))).alias("silhouette"), "n_points", "n_clusters")
 
 
 def davies_bouldin(df: DataFrame, id_col: str, label_col: str, vec: str) -> DataFrame:

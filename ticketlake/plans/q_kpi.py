@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ticketlake.operators import kpi
 from ticketlake.plans.registry import query
+from ticketlake.session import checkpoint_dir
 from ticketlake.sources.tables import interactions, table, test_results
 
 # Interaction view over events, as SQL, shared by the oracles below.
@@ -229,3 +232,18 @@ def model_results_newest_first(spark, sf_dir):
     """One model's test results, newest first (a range-partitioned global sort)."""
     t = kpi.log_filter(test_results(spark, sf_dir), model="click").select("event_id", "model", "execution_time", "timestamp")
     return t.orderBy(F.col("timestamp").desc_nulls_last(), "event_id")
+
+
+@query("boxplot_sketches", sql="""
+SELECT event_type, count(value)::BIGINT AS n, true AS q1_close, true AS median_close, true AS q3_close FROM events GROUP BY event_type""")
+def boxplot_sketches(spark, sf_dir):
+    """A7 by sketches: one per kind and day, stored, read back and merged per kind.  The rank
+    of each answer, counted in the rows, lies within 2 percent of the one asked for."""
+    e = table(spark, sf_dir, "events")
+    path = f"{checkpoint_dir(spark)}/io/sketches-{uuid.uuid4().hex[:12]}"
+    kpi.quantile_sketches(e.withColumn("day", F.to_date("ts")), "value", ["event_type", "day"]).write.parquet(path)
+    q = kpi.sketched_quantiles(spark.read.parquet(path), ["event_type"])
+    ranks = e.join(q, "event_type").groupBy("event_type", "n").agg(*[
+        F.avg((F.col("value") <= F.col(c)).cast("double")).alias(f"_{c}") for c in ("q0", "q1", "q2")])
+    return ranks.select("event_type", "n", *[
+        (F.abs(F.col(f"_{c}") - p) <= 0.02).alias(name) for c, p, name in (("q0", 0.25, "q1_close"), ("q1", 0.5, "median_close"), ("q2", 0.75, "q3_close"))])

@@ -123,3 +123,17 @@ def masked_mean_vector(spark, sf_dir):
     """A19 with a mask: vectors whose first component is positive count, others do not."""
     e = _emb(spark, sf_dir).withColumn("mask", F.when(F.col("embedding")[0] > 0, 1.0).otherwise(0.0))
     return vx.mean_vector(e, "label", "embedding", mask="mask")
+
+
+@query("silhouette_sampled", sql="""
+SELECT count(*)::BIGINT AS n_points, count(DISTINCT label)::BIGINT AS n_clusters, true AS scored_a_part, true AS within_3_errors
+FROM embeddings WHERE embedding IS NOT NULL""")
+def silhouette_sampled(spark, sf_dir):
+    """A15 with ``sample_size``: 150 points scored against all; the exact value lies within
+    three of the stated standard errors."""
+    e = table(spark, sf_dir, "embeddings")
+    part = vx.silhouette(e, "vec_id", "label", "embedding", sample_size=150)
+    exact = vx.silhouette(e, "vec_id", "label", "embedding").select(F.col("silhouette").alias("exact"))
+    return part.join(exact, how="left").select(
+        "n_points", "n_clusters", (F.col("n_scored") < F.col("n_points")).alias("scored_a_part"),
+        (F.abs(F.col("silhouette") - F.col("exact")) <= 3 * F.col("standard_error")).alias("within_3_errors"))
