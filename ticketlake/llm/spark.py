@@ -15,6 +15,13 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_ROWS))
 
 
+def bounded_bytes(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """Arrow batches of at most ``limit`` bytes, whatever their rows: few documents, or many
+    rows of numbers (at 512 of these a batch the batches themselves would be the work)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(limit))
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """``name``, or a longer one that none of ``columns`` has (names differ by more than case)."""
     taken = {c.lower() for c in columns}
