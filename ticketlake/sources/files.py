@@ -101,7 +101,7 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType | Non
                .select(F.regexp_replace("text", r"^[\s,\[]+", "").alias("text")).where(F.startswith("text", F.lit("{"))))
     if schema is None:
         found = records.select(F.schema_of_variant_agg(F.try_parse_json("text")).alias("s")).first()["s"]
-        given = found if found.startswith("OBJECT<") else "OBJECT<>"  # no record can be parsed
+        given = found if (found or "").startswith("OBJECT<") else "OBJECT<>"  # no record can be parsed
         for kind, ours in ((r"\bOBJECT<", "STRUCT<"), (r"\bDECIMAL\(\d+,\s*\d+\)", "DOUBLE"), (r"(: |<)(VOID|VARIANT)\b", r"\1STRING")):
             given = re.sub(kind, ours, given)
         if given == "STRUCT<>":
