@@ -1,6 +1,7 @@
 """Streams over several micro-batches: messages sent again, answers on a stream of their
 own, state that ends, sketches."""
 
+import math
 import os
 import random
 import statistics
@@ -172,3 +173,29 @@ def test_event_table_is_appended_once_and_compacted(spark, tmp_path):
     assert live.compact_events(spark, path, all_segments=True) and held() == wanted and len(live._segments(spark, path)) == 1
     os.makedirs(tmp_path / "table" / "segments" / "segment=0000000000-0000000009")  # a write that was not committed
     assert held() == wanted
+
+
+def test_vectors_are_shuffled_a_fixed_number_of_times(spark):
+    """A table ten times as large has no more blocks until a block has BLOCK_BYTES."""
+    small, large = (spark.range(n).select(F.array(F.lit(1.0), F.lit(2.0)).alias("v")) for n in (40_000, 400_000))
+    assert vx._n_blocks(small, "v", None) == vx._n_blocks(large, "v", None) == vx._GRID
+    wide = spark.range(40_000).select(F.array_repeat(F.lit(1.0), 2000).alias("v"))
+    assert vx._n_blocks(wide, "v", None) == math.ceil(40_000 * 2000 * 8 / vx.BLOCK_BYTES)
+
+
+def test_neighbours_over_several_pieces_of_a_cell(spark):
+    """Copies and equal distances over the pieces of one cell: the smallest ids win."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=(900, 3)), np.tile(rng.normal(size=(1, 3)), (400, 1))]).round(1)
+    rows = [(i, i % 2, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id long, c long, v array<double>")
+    got = {(r["id"], r["nb_rank"]): r["dist"] for r in vx.knn_same_class(df, "id", "c", "v", 4).collect()}
+    assert len(got) == 4 * len(rows)
+    for i in range(0, 1300, 37):
+        same = [j for j in range(1300) if j % 2 == i % 2 and j != i]
+        want = np.sort(np.linalg.norm(x[same] - x[i], axis=1))[:4]
+        assert np.allclose([got[i, k] for k in (1, 2, 3, 4)], want, atol=1e-6)
+    best = {r["qid"]: (r["best_id"], r["score"]) for r in vx.nearest(
+        df.select(F.col("id").alias("qid"), F.col("v").alias("embedding")), df.select(F.col("id").alias("kid"), F.col("v").alias("embedding")), exclude_self=True).collect()}
+    for i in (900, 901, 1299):
+        assert best[i][0] == (901 if i == 900 else 900) and best[i][1] == pytest.approx(1.0)

@@ -8,15 +8,18 @@ vector, exact silhouette, SMOTE neighbours) uses one block-grid operator:
     right rows -> block  pmod(xxhash64(id), R), replicated to the L left blocks
     cogroup on (left block, right block) -> applyInPandas: numpy on one cell
 
-Every cell holds at most ~``block_rows`` rows per side, so memory per task is fixed
-whatever the table size; a cell emits one small partial per left row (best match, or
-per-cluster distance sums), and the partials are merged by an ordinary aggregate.
-No pair is ever emitted as a row.
+A side has _GRID blocks as soon as it is large, so a vector is shuffled a fixed number of
+times; only a block over BLOCK_BYTES of vectors is cut further, so memory per task is
+bounded whatever the table size (``block_rows`` sets the rows of a block instead).  A cell
+goes through its pairs in pieces that fit a core's cache and emits one small partial per
+left row (best match, or per-cluster distance sums); the partials are merged by an ordinary
+aggregate.  No pair is ever emitted as a row.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,21 +33,27 @@ from ticketlake.operators.evaluation import first_k_per_class
 from ticketlake.operators.retrieval import NO_MATCH_ANSWER, NO_MATCH_SCORE  # noqa: F401
 from ticketlake.session import materialize
 
-DEFAULT_BLOCK_ROWS = 2048
+DEFAULT_BLOCK_ROWS = 2048  # a table of few such blocks is cut into them
+_GRID = 8                  # blocks of a side, unless they would be larger than
+BLOCK_BYTES = 32 << 20     # this many bytes of vectors in double precision
 _CELLS_PER_TASK = 32
-_CHUNK = 256  # rows of the left cell handled per numpy step (bounds the temporary arrays)
+_CHUNK, _WIDTH = 128, 512  # rows of the left and the right cell handled per numpy step (bounds the temporary arrays)
 
 
-def _n_blocks(df: DataFrame, block_rows: int) -> int:
-    return max(1, math.ceil(df.count() / block_rows))
+def _n_blocks(df: DataFrame, vec: str, block_rows: int | None) -> int:
+    n, dim = df.agg(F.count(F.lit(1)), F.max(F.size(vec))).first()
+    if block_rows is not None:
+        return max(1, math.ceil(n / block_rows))
+    return max(1, min(_GRID, math.ceil(n / DEFAULT_BLOCK_ROWS)), math.ceil(n * 8 * max(dim or 1, 1) / BLOCK_BYTES))
 
 
-def block_grid(left: DataFrame, right: DataFrame, left_id: str, right_id: str, fn, schema: str,
-               *, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+def block_grid(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_vec: str, right_vec: str, fn, schema: str,
+               *, block_rows: int | None = None) -> DataFrame:
     """Pair every left block with every right block and run ``fn(left_pdf, right_pdf)``
-    on each cell (cogrouped pandas frames).  Block counts come from the row counts."""
-    nl = _n_blocks(left, block_rows)
-    nr = _n_blocks(right, block_rows)
+    on each cell (cogrouped pandas frames).  Block counts come from the row counts and the
+    length of the vectors."""
+    nl = _n_blocks(left, left_vec, block_rows)
+    nr = _n_blocks(right, right_vec, block_rows)
     lb = F.pmod(F.xxhash64(F.col(left_id)), F.lit(nl)).cast("int")
     rb = F.pmod(F.xxhash64(F.col(right_id)), F.lit(nr)).cast("int")
     L = left.select("*", lb.alias("_lb"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("_rb"))
@@ -59,13 +68,33 @@ def block_grid(left: DataFrame, right: DataFrame, left_id: str, right_id: str, f
     return L.groupBy("_lb", "_rb").cogroup(R.groupBy("_lb", "_rb")).applyInPandas(fn, schema=schema)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all rows of a to all rows of b by |a|^2 + |b|^2 - 2ab: the
-    only temporaries have one entry per pair, whatever the dimension.  Both are shifted
+def _distances(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Euclidean distances of all rows of a to all rows of b by |a|^2 + |b|^2 - 2ab, in pieces
+    (first row of a, first row of b, distances), a's rows ascending, for each b's: the only
+    temporaries have one entry per pair of a piece, whatever the dimension.  Both are shifted
     to the mean of b first, which keeps the cancellation small."""
     mean = b.mean(axis=0)
     a, b = a - mean, b - mean
-    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T), 0.0))
+    aa, bb = (a * a).sum(1), (b * b).sum(1)
+    cross, out = np.empty((2, min(_CHUNK, len(a)), min(_WIDTH, len(b))))  # used again by every piece
+    for s in range(0, len(a), _CHUNK):
+        twice = 2.0 * a[s:s + _CHUNK]
+        for t in range(0, len(b), _WIDTH):
+            near = b[t:t + _WIDTH]
+            g, d = cross[:len(twice), :len(near)], out[:len(twice), :len(near)]
+            np.matmul(twice, near.T, out=g)
+            np.add(aa[s:s + _CHUNK, None], bb[None, t:t + _WIDTH], out=d)
+            d -= g
+            np.maximum(d, 0.0, out=d)
+            yield s, t, np.sqrt(d, out=d)
+
+
+def _k_least(row: np.ndarray, dist: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's k least entries in the order of (distance, id)."""
+    order = np.lexsort((ids, dist, row))
+    sorted_rows = row[order]
+    first = np.searchsorted(sorted_rows, sorted_rows, side="left")
+    return order[np.arange(len(order)) - first < k]
 
 
 def _matrix(series: pd.Series) -> np.ndarray:
@@ -79,7 +108,7 @@ def _matrix(series: pd.Series) -> np.ndarray:
 # ======================================================================================
 
 def nearest(queries: DataFrame, kb: DataFrame, *, qid: str = "qid", kid: str = "kid", vec: str = "embedding",
-            exclude_self: bool = False, block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+            exclude_self: bool = False, block_rows: int | None = None) -> DataFrame:
     """For every query vector the KB entry of highest cosine (dot / (|a||b| + 1e-8));
     ties go to the lowest KB id (T13: first of equal scores).  ``exclude_self`` skips
     the KB row with the same id (nearest *other* vector of one table).  Queries with
@@ -96,20 +125,23 @@ def nearest(queries: DataFrame, kb: DataFrame, *, qid: str = "qid", kid: str = "
         A, B = _matrix(lp["_qv"]), _matrix(rp["_kv"])
         na, nb = np.linalg.norm(A, axis=1), np.linalg.norm(B, axis=1)
         kids = rp["_k"].to_numpy()
-        best_i = np.empty(len(A), dtype=np.int64)
-        best_s = np.empty(len(A))
+        best_i = np.full(len(A), kids[0], dtype=np.int64)
+        best_s = np.full(len(A), -np.inf)
         qids = lp["_q"].to_numpy()
         for s in range(0, len(A), _CHUNK):
-            sc = (A[s:s + _CHUNK] @ B.T) / (na[s:s + _CHUNK, None] * nb[None, :] + COSINE_EPS)
-            if exclude_self:
-                sc[qids[s:s + _CHUNK, None] == kids[None, :]] = -np.inf
-            j = np.argmax(sc, axis=1)  # first maximum = lowest id (sorted)
-            best_i[s:s + _CHUNK] = kids[j]
-            best_s[s:s + _CHUNK] = sc[np.arange(len(j)), j]
+            for t in range(0, len(B), _WIDTH):
+                sc = (A[s:s + _CHUNK] @ B[t:t + _WIDTH].T) / (na[s:s + _CHUNK, None] * nb[None, t:t + _WIDTH] + COSINE_EPS)
+                if exclude_self:
+                    sc[qids[s:s + _CHUNK, None] == kids[None, t:t + _WIDTH]] = -np.inf
+                j = np.argmax(sc, axis=1)  # first maximum = lowest id (sorted)
+                top = sc[np.arange(len(j)), j]
+                better = np.flatnonzero((top > best_s[s:s + _CHUNK]) | np.isnan(top))
+                best_i[s + better] = kids[t + j[better]]
+                best_s[s + better] = top[better]
         out = pd.DataFrame({"_q": qids, "best_id": best_i, "score": best_s})
         return out[np.isfinite(out["score"])]
 
-    parts = block_grid(q, k, "_q", "_k", cell, "_q long, best_id long, score double", block_rows=block_rows)
+    parts = block_grid(q, k, "_q", "_k", "_qv", "_kv", cell, "_q long, best_id long, score double", block_rows=block_rows)
     best = parts.groupBy("_q").agg(F.min_by(F.struct("best_id", "score"),
                                             F.struct((-F.col("score")).alias("s"), F.col("best_id"))).alias("m"))
     out = asked.select("_q").join(best, "_q", "left")
@@ -158,7 +190,7 @@ def mean_vector(df: DataFrame, group: str, vec: str, mask: str | None = None) ->
 # ======================================================================================
 
 def silhouette(df: DataFrame, id_col: str, label_col: str, vec: str, *,
-               block_rows: int = DEFAULT_BLOCK_ROWS, sample_size: int | None = None, seed: int = 42) -> DataFrame:
+               block_rows: int | None = None, sample_size: int | None = None, seed: int = 42) -> DataFrame:
     """Exact mean silhouette with Euclidean distance (T18), one row
     (silhouette, n_points, n_clusters).  Singleton clusters score 0; NaN when the
     number of clusters is not in [2, n-1].  Pairwise distances are summed per
@@ -197,7 +229,7 @@ def _if_defined(name: str) -> Column:
     return F.when((F.col("n_clusters") >= 2) & (F.col("n_clusters") <= F.col("n_points") - 1), F.col(name)).otherwise(F.lit(float("nan"))).alias(name)
 
 
-def _silhouette_points(scored: DataFrame, pts: DataFrame, block_rows: int) -> DataFrame:
+def _silhouette_points(scored: DataFrame, pts: DataFrame, block_rows: int | None) -> DataFrame:
     """(_i, _c, s): the silhouette of every point of ``scored`` among all of ``pts``."""
     def cell(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"_i": pd.Series([], dtype="int64"), "_c": pd.Series([], dtype="int64"),
@@ -210,23 +242,20 @@ def _silhouette_points(scored: DataFrame, pts: DataFrame, block_rows: int) -> Da
         uniq = np.unique(labels)
         onehot = (labels[:, None] == uniq[None, :]).astype(np.float64)
         cnt = onehot.sum(axis=0).astype(np.int64)
-        outs = []
-        for s in range(0, len(A), _CHUNK):
-            a = A[s:s + _CHUNK]
-            d = _distances(a, B)
-            sums = d @ onehot
-            n = len(a)
-            outs.append(pd.DataFrame({
-                "_i": np.repeat(lp["_i"].to_numpy()[s:s + n], len(uniq)),
-                "_c": np.repeat(lp["_c"].to_numpy()[s:s + n], len(uniq)),
-                "_oc": np.tile(uniq, n),
-                "dsum": sums.reshape(-1),
-                "cnt": np.tile(cnt, n),
-            }))
-        return pd.concat(outs, ignore_index=True) if outs else empty
+        sums = np.zeros((len(A), len(uniq)))
+        for s, t, d in _distances(A, B):
+            sums[s:s + _CHUNK] += d @ onehot[t:t + _WIDTH]
+        n = len(A)
+        return pd.DataFrame({
+            "_i": np.repeat(lp["_i"].to_numpy(), len(uniq)),
+            "_c": np.repeat(lp["_c"].to_numpy(), len(uniq)),
+            "_oc": np.tile(uniq, n),
+            "dsum": sums.reshape(-1),
+            "cnt": np.tile(cnt, n),
+        })
 
     right = pts.select(F.col("_i").alias("_ri"), F.col("_c").alias("_rc"), F.col("_v").alias("_rv"))
-    parts = block_grid(scored, right, "_i", "_ri", cell, "_i long, _c long, _oc long, dsum double, cnt long",
+    parts = block_grid(scored, right, "_i", "_ri", "_v", "_rv", cell, "_i long, _c long, _oc long, dsum double, cnt long",
                        block_rows=block_rows)
     per = parts.groupBy("_i", "_c", "_oc").agg(F.sum("dsum").alias("dsum"), F.sum("cnt").alias("cnt"))
     own = per.filter(F.col("_c") == F.col("_oc"))
@@ -271,7 +300,7 @@ def davies_bouldin(df: DataFrame, id_col: str, label_col: str, vec: str) -> Data
 
 
 def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec: str, k: int, *,
-                   block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+                   block_rows: int | None = None) -> DataFrame:
     """ML9 helper: the k nearest other points of the same class (Euclidean), as rows
     (id, nb_rank, nb_id).  Per cell each point keeps its k best; the merge keeps the k
     best of those partials (a window bounded to k rows per point)."""
@@ -287,19 +316,23 @@ def knn_same_class(df: DataFrame, id_col: str, label_col: str, vec: str, k: int,
                 A, B = _matrix(lg["_v"]), _matrix(rg["_rv"])
                 ids = rg["_ri"].to_numpy()
                 li = lg["_i"].to_numpy()
-                for s in range(0, len(A), _CHUNK):
-                    d = _distances(A[s:s + _CHUNK], B)
-                    d[li[s:s + _CHUNK, None] == ids[None, :]] = np.inf
-                    kk = min(k, d.shape[1])
-                    order = np.argsort(d, axis=1, kind="stable")[:, :kk]
-                    found = pd.DataFrame({"_i": np.repeat(li[s:s + len(d)], kk), "nb_id": ids[order].ravel(),
-                                          "dist": np.take_along_axis(d, order, 1).ravel()})
-                    rows.append(found[np.isfinite(found["dist"])])
+                held = []  # (left row, right row, distance) of a left chunk's best per piece
+                for s, t, d in _distances(A, B):
+                    d[li[s:s + _CHUNK, None] == ids[None, t:t + _WIDTH]] = np.inf
+                    bound = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+                    i, j = np.nonzero((d <= bound[:, None]) & np.isfinite(d))
+                    best = _k_least(i, d[i, j], j, k)
+                    held.append((i[best] + s, j[best] + t, d[i, j][best]))
+                    if t + _WIDTH >= len(B):
+                        i, j, dist = (np.concatenate(x) for x in zip(*held))
+                        best = _k_least(i, dist, j, k)
+                        rows.append(pd.DataFrame({"_i": li[i[best]], "nb_id": ids[j[best]], "dist": dist[best]}))
+                        held = []
         return pd.concat(rows) if rows else pd.DataFrame({"_i": [], "nb_id": [], "dist": []}).astype(
             {"_i": "int64", "nb_id": "int64", "dist": "float64"})
 
     right = pts.select(F.col("_i").alias("_ri"), F.col("_c").alias("_rc"), F.col("_v").alias("_rv"))
-    parts = block_grid(pts, right, "_i", "_ri", cell, "_i long, nb_id long, dist double", block_rows=block_rows)
+    parts = block_grid(pts, right, "_i", "_ri", "_v", "_rv", cell, "_i long, nb_id long, dist double", block_rows=block_rows)
     w = Window.partitionBy("_i").orderBy("dist", "nb_id")
     return (parts.withColumn("nb_rank", F.row_number().over(w)).filter(F.col("nb_rank") <= k)
             .select(F.col("_i").alias(id_col), "nb_rank", "nb_id", "dist"))
