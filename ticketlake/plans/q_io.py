@@ -90,17 +90,30 @@ def service_log_records(spark, sf_dir):
     return files.read_service_log(spark, path).select("user_id", "question", "answer", "model_version", "response_time")
 
 
+def _json_array(batches):
+    """The objects of a task as one array: a first object without an id, then one a line."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    begun = False
+    for batch in batches:
+        if not begun:
+            yield pa.RecordBatch.from_arrays([pa.array(['[{"doc_id": null}'])], names=["value"])
+            begun = True
+        yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(",\n", batch.column(0), "")], names=["value"])
+    if begun:
+        yield pa.RecordBatch.from_arrays([pa.array(["]"])], names=["value"])
+
+
 @query("json_array_import", sql="""
 SELECT doc_id, text, lang, source, n_chars FROM documents""")
 def json_array_import(spark, sf_dir):
-    """Documents as one array of objects, the form of an exported file, read back by
-    many tasks.  The array is a file of its own by a single writer here; the reader splits
-    it at any byte."""
+    """Documents as arrays of objects, the form of an exported file, read back by many
+    tasks.  Every writer's file is one array over many lines; the reader splits it at any
+    byte."""
     path = _folder(spark, "json_array")
     d = table(spark, sf_dir, "documents")
-    whole = d.select(F.concat(F.lit(",\n"), F.to_json(F.struct("*"))).alias("value"))
-    spark.createDataFrame([('[{"doc_id": null}',)], "value string").union(whole).union(
-        spark.createDataFrame([("]",)], "value string")).coalesce(1).write.text(path)
+    d.select(F.to_json(F.struct("*")).alias("value")).mapInArrow(_json_array, "value string").write.text(path)
     return files.read_json_records(spark, path, d.schema).where("doc_id is not null")
 
 
