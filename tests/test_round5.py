@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.ml.linalg import Vectors
 
 from ticketlake.operators import ml, softmax
+from ticketlake.operators import text as tx
 
 
 def gaps(rows, w, b, reg):
@@ -51,3 +52,22 @@ def test_text_classifier_is_saved_and_spread(spark, tmp_path):
 def test_text_classifier_of_one_class(spark):
     df = spark.createDataFrame([("aa bb", "x"), ("bb cc", "x"), ("", "x")], "text string, label string")
     assert {r.prediction_label for r in ml.train_text_classifier(df, "label").transform(df).collect()} == {"x"}
+
+
+def test_clusters_of_more_terms_than_a_pipeline_holds(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tx, "PIPELINE_TERMS", 3)
+    rows = [(k % 5, " ".join(["left lefts", "right rights", "up ups"][k % 3] for _ in range(4)) + f" own{k}") for k in range(60)]
+    df = spark.createDataFrame([*rows, (None, "left"), (7, None)], "id long, text string")  # ids repeat
+    paths, splits = ml.train_and_save(df, "id", str(tmp_path))
+    assert set(paths) == {"kmeans"} and not splits
+    found = ml.TextClusters.load(spark, paths["kmeans"]).transform(df.filter("text is not null")).collect()
+    kinds = {}
+    for r in found:
+        kinds.setdefault(r.text.split()[0], set()).add(r.cluster)
+    assert len(found) == 61 and sorted(len(c) for c in kinds.values()) == [1, 1, 1] and len(set.union(*kinds.values())) == 3
+
+
+def test_terms_are_sent_as_one_text(spark):
+    model = tx.pipeline(tx.term_table(spark.createDataFrame([("aa bb Étion", ), ("x_1 bb", )], "text string"), ngrams=2))
+    counter = next(s for s in model.stages if hasattr(s, "vocabulary"))
+    assert set(counter.vocabulary) == {"aa", "bb", "étion", "x_1", "aa bb", "bb étion", "x_1 bb"} and counter.getOrDefault("vocabSize") == 7
