@@ -207,3 +207,22 @@ def test_license_blocks():
     assert scanner.best("") is None or scanner.best("")[2] == 0
     many = scanner.blocks("Released under the MIT License. Licensed under the BSD License, Version 2.0.\n" * 500)
     assert [(x[2], x[6]) for x in many] == [("MIT", False), ("Apache-2.0", True)] * 500
+
+
+def test_reach_is_the_edit_distance(monkeypatch):
+    rng = random.Random(11)
+    for k in range(1500):
+        a = "".join(rng.choice("abc") for _ in range(rng.randint(0, 40)))
+        b = list(a)
+        for _ in range(rng.randint(0, 9)):
+            at = rng.randint(0, len(b))
+            b[at:at + rng.randint(0, 1)] = rng.choice(["", "a", "b", "d"])
+        b = "".join(b) if k % 4 else "".join(rng.choice("abc") for _ in range(rng.randint(0, 40)))
+        limit = rng.randint(0, 9)
+        assert line_dedup.reachable(a, b, limit) == (distance(a, b) <= limit), (a, b, limit)
+    # unrelated texts: only diagonals that can still lead to the end are followed
+    calls, common = [], line_dedup._common
+    monkeypatch.setattr(line_dedup, "_common", lambda *x: calls.append(x) or common(*x))
+    a, b = ("".join(rng.choice("abcdefgh") for _ in range(1000)) for _ in range(2))
+    assert not line_dedup.reachable(a, b, 20)
+    assert len(calls) < 21 * 21 / 2
