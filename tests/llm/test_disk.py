@@ -2,25 +2,27 @@
 
 import glob
 import os
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ticketlake.llm import line_dedup
+from ticketlake.llm import line_dedup, vector_dedup
 from ticketlake.session import CLEANUP, materialize, release
 
 
-def test_a_written_result_leaves_no_shuffle(spark):
+def shuffled(spark):
+    """The shuffle files that the session has on disk."""
     root = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f for d in root.localDirs() for f in glob.glob(f"{d.getPath()}/*/shuffle_*.data")}
 
-    def held():
-        return {f for d in root.localDirs() for f in glob.glob(f"{d.getPath()}/*/shuffle_*.data")}
 
-    before = held()
+def test_a_written_result_leaves_no_shuffle(spark):
+    before = shuffled(spark)
     rows = spark.range(20_000).repartition(7, "id").withColumn("k", F.col("id") % 3)
     out = materialize(rows)
-    assert not held() - before
+    assert not shuffled(spark) - before
     assert spark.conf.get(CLEANUP, "false") == "false"
     assert out.count() == rows.count() == 20_000  # the plan itself can run again
     where = out._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
@@ -62,3 +64,53 @@ def test_a_bucket_of_many_rows_is_passed_on_in_parts():
     members, pairs = found(600)
     assert (members, pairs) == found(1 << 20)
     assert len(members) == 2 * n and len(pairs) >= 100
+
+
+def test_vectors_without_structure_leave_little_on_disk(spark, monkeypatch):
+    """Nearly all of these visit nearly all others; no pass holds more than the table's bounds."""
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(rng.normal(size=(1500, 32)))], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(vector_dedup, "HOME", 64)
+    monkeypatch.setattr(vector_dedup, "PASS", (2, 1))
+    sent = []
+
+    def sending(*args):
+        sent.append(args[4])
+        return vector_dedup_send(*args)
+
+    vector_dedup_send = vector_dedup._send
+    monkeypatch.setattr(vector_dedup, "_send", sending)
+    before = shuffled(spark)
+    out = vector_dedup.near_vectors(df)
+    assert sum(map(os.path.getsize, shuffled(spark) - before)) < 1500 * 32 * 8 / 4  # counts by ring and group
+    assert out.where("n_links = 0 and kept").count() == 1500
+    assert len(sent) > 4 and len({u for units in sent for u in units}) == sum(map(len, sent))
+
+
+def test_each_near_pair_meets_in_one_unit():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(400, 8))
+    x[200:] = x[:200] + rng.normal(size=(200, 8)) * 0.1
+    unit = x / np.sqrt((x * x).sum(1))[:, None]
+    radius = np.sqrt(2 - 2 * 0.9)
+    pivots = vector_dedup.choose_pivots(list(unit[:100]), radius, 9)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(400)), pa.array(range(400)), pa.array(x.tolist())], names=["id", "name", "v"])
+    placed = next(vector_dedup._assign(pivots, radius)(iter([batch])))
+    rings = Counter(zip(placed["cell"].to_pylist(), placed["ring"].to_pylist()))
+    layout = vector_dedup._Layout(8, [(*k, n) for k, n in rings.items()], 400)
+    layout.size, layout.groups = 37, -(-400 // 37)
+    count = pa.Table.from_batches(vector_dedup._count({8: layout}, pivots, radius)(iter([placed])))
+    visitors = dict(zip(count["g"].to_pylist(), count["visitors"].to_pylist()))
+    slices = {(8, g): 1 + visitors.get(g, 0) // 50 for g in range(layout.groups)}
+    units = [(*key, s) for key, n in slices.items() for s in range(n)]
+    met = Counter()
+    for part in (units[::2], units[1::2]):
+        rows = pa.Table.from_batches(vector_dedup._send({8: layout}, pivots, radius, slices, part)(iter([placed]))).to_pylist()
+        for u in part:
+            own = [r for r in rows if (r["dim"], r["g"], r["s"]) == u]
+            home = [r["id"] for r in own if r["home"]]
+            met.update(frozenset((a, r["id"])) for r in own if not r["home"] for a in home)
+            if any(r["once"] for r in own):
+                met.update(frozenset((a, b)) for a in home for b in home if a < b)
+    near = {frozenset((i, j)) for i, j in zip(*np.nonzero(unit @ unit.T >= 0.9)) if i < j}
+    assert len(near) >= 150 and near <= set(met) and max(met.values()) == 1
